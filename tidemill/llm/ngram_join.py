@@ -11,11 +11,13 @@ key cannot link. Parts that are empty say nothing; a class with m - k empty part
 its shingles anew with the next seed as well (its partner, equally empty, does the same).
 Common shingles are no trouble, since a key covers all that a part holds.
 
-Keys travel sorted and packed. Their buckets return only keys that two classes or more share.
-Each class is compared with the most connected class of its key; what that leaves in different
-components of one key is compared in a second round. A comparison first folds bitmap
-signatures of both sets: bits set on one side alone bound the overlap from above. Pairs that
-may reach the threshold have their sorted arrays intersected.
+Keys travel sorted and packed. Their buckets return only keys that two classes or more share,
+and classes that share keys, also through others, form a candidate group. A group's classes meet
+in tiles of one band and the next; a large tile is cut to chunks, and each pair of chunks is a
+task of its own. A task folds each set to a bitmap signature; the bits that two signatures share
+bound the overlap from above, and only pairs that may reach the threshold, and are not yet
+connected within the task, have their sorted arrays intersected. So a task returns a spanning set
+of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ from tidemill.session import ship, table
 PACK_BYTES = 8_000_000
 BUCKET_KEYS = 1_500_000
 SEEDS = 8
-BITS_PER_SHINGLE = 4
+BITS_PER_SHINGLE = 8
+#: Shingles that a chunk of a tile holds on average.
+CHUNK_SHINGLES = 1_000_000
 
 
 def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
@@ -99,21 +103,67 @@ def tile_keys(shingle_set: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
-def signature(shingle_set: np.ndarray) -> bytes:
-    """A bitmap of 4 to 8 bits a shingle; its width is a power of two."""
-    width = max(64, 1 << math.ceil(math.log2(max(1, BITS_PER_SHINGLE * len(shingle_set)))))
-    bits = np.zeros(width, np.uint8)
-    bits[(shingle_set % np.uint64(width)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap for each set, of BITS_PER_SHINGLE bits or more a shingle of the largest."""
+    width = max(64, 1 << math.ceil(math.log2(max(1, BITS_PER_SHINGLE * max(len(x) for x in sets)))))
+    out = np.zeros((len(sets), width // 8), np.uint8)
+    for row, x in zip(out, sets):
+        at = (x & np.uint64(width - 1)).astype(np.int64)
+        np.bitwise_or.at(row, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out.view(np.uint64)
 
 
-def overlap_bound(a: bytes, size_a: int, b: bytes, size_b: int) -> int:
-    """No smaller than the overlap of the sets with these signatures."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    width = min(len(x), len(y))
-    x, y = (np.bitwise_or.reduce(z.reshape(-1, width), axis=0) for z in (x, y))
-    only_a, only_b = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
-    return min(size_a - only_a, size_b - only_b)
+class Unions:
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.root(i)] = self.root(j)
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate((a, b))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def tile_links(sets: list[np.ndarray], low: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that span what all links of a task connect.
+
+    ``low``: in the tile's own band (two sets of the next band meet in the next tile). ``side``:
+    the chunk, 0 or 1; if there are two, only pairs across them are compared.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets, low, side = [sets[i] for i in order], low[order], side[order]
+    size = np.array([len(x) for x in sets], np.int64)
+    bits = signatures(sets)
+    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    across = bool(side.any()) and not bool(side.all())
+    unions, found = Unions(len(sets)), []
+    for i in range(len(sets) - 1):
+        if not low[i]:
+            break
+        end = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
+        near = np.arange(i + 1, end)
+        if across:
+            near = near[side[near] != side[i]]
+        if not len(near):
+            continue
+        shared = np.bitwise_count(bits[near] & bits[i]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(size[i] - (ones[i] - shared), size[near] - (ones[near] - shared))
+        for j in near[most * (100 + percent) >= percent * (size[i] + size[near])].tolist():
+            if unions.root(i) != unions.root(j):
+                same = overlap(sets[i], sets[j])
+                if 100 * same >= percent * int(size[i] + size[j] - same):
+                    unions.join(i, j)
+                    found.append((int(order[i]), int(order[j])))
+    return found
 
 
 def _sets_udf(width: int):
@@ -196,61 +246,48 @@ def _describe_udf(width: int):
                 part = batch.slice(at, 64)
                 sets = [shingles(t.as_py() or b"", width, hashes) for t in part.column(1).cast(pa.large_binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.binary()), pa.array([packed_sorted(x) for x in sets], pa.binary())],
-                    ["cls", "n", "sig", "arr"],
+                    [part.column(0), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array([packed_sorted(x) for x in sets], pa.binary())],
+                    ["cls", "grp", "n", "arr"],
                 )
 
     return describe
 
 
-def _bounded(percent: int):
-    """Keeps pairs whose signatures allow the threshold."""
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v, nu, nv, su, sv = (batch.column(i).to_pylist() for i in range(6))
-            may = []
-            for a, b, x, y in zip(nu, nv, su, sv):
-                need = -(-percent * (a + b) // (100 + percent))
-                may.append(min(a, b) >= need and overlap_bound(x, a, y, b) >= need)
-            keep = batch.filter(pa.array(may, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["u", "v"])
-
-    return bounded
+def _tile(percent: int):
+    def tile(group: pa.Table) -> pa.Table:
+        cls = group.column("cls").to_numpy()
+        low = group.column("low").to_numpy(zero_copy_only=False)
+        if not low.any() or len(cls) < 2:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        sets = [unpacked_sorted(x.as_py()) for x in group.column("arr")]
+        pairs = tile_links(sets, low, group.column("side").to_numpy(), percent)
+        return pa.table({"u": pa.array([cls[i] for i, _ in pairs], pa.int64()), "v": pa.array([cls[j] for _, j in pairs], pa.int64())})
 
+    return tile
 
-def _linked(percent: int):
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[bytes, np.ndarray] = {}
 
-            def one(data: bytes) -> np.ndarray:
-                if data not in held:
-                    if len(held) > 50:
-                        held.clear()
-                    held[data] = unpacked_sorted(data)
-                return held[data]
+def _band_udf(percent: int):
+    bands = Bands(percent)
 
-            is_link = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = one(x.as_py()), one(y.as_py())
-                both = np.concatenate((a, b))
-                both.sort()
-                overlap = int((both[1:] == both[:-1]).sum())
-                is_link.append(100 * overlap >= percent * (len(a) + len(b) - overlap))
-            keep = batch.filter(pa.array(is_link, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["u", "v"])
+    def band(n: pa.Array) -> pa.Array:
+        return pa.array([bands.of(x) for x in n.to_pylist()], pa.int32())
 
-    return linked
+    return F.arrow_udf(band, "int")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes that link."""
-    side = lambda c, *cols: sets.select(F.col("cls").alias(c), *(F.col(x).alias(x + c) for x in cols))
-    signed_pairs = pairs.join(side("u", "n", "sig"), "u").join(side("v", "n", "sig"), "v").select("u", "v", "nu", "nv", "sigu", "sigv")
-    likely = table(signed_pairs.mapInArrow(_bounded(percent), "u long, v long"), "likely")
-    full = likely.join(side("u", "arr"), "u").join(side("v", "arr"), "v").select("u", "v", "arru", "arrv")
-    return table(full.mapInArrow(_linked(percent), "u long, v long"), "links")
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of classes (cls, grp, n, arr) that span those of each candidate group."""
+    own = sets.withColumn("band", _band_udf(percent)("n"))
+    tiles = F.explode(F.array_distinct(F.array(F.col("band"), F.greatest(F.lit(0), F.col("band") - 1)))).alias("tile")
+    seated = own.select("cls", "grp", "n", "band", "arr", tiles)
+    sizes = seated.groupBy("grp", "tile").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members"))
+    sizes = sizes.filter("members > 1").select("grp", "tile", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int").alias("chunks"))
+    placed = seated.join(sizes, ["grp", "tile"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = pairs.select(
+        "grp", "tile", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "cls", (F.col("band") == F.col("tile")).alias("low"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "arr"
+    )
+    return table(rows.groupBy("grp", "tile", "a", "b").applyInArrow(_tile(percent), "u long, v long"), "links")
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -274,27 +311,13 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     packs = docs.select("text").mapInArrow(_keys_udf(width, percent, bits), "bucket long, keys binary, classes binary, owner binary")
     shared = table(packs.groupBy("bucket").applyInArrow(_shared_keys, "key long, cls long"), "shared")
 
-    # The pivot of a key: its class that shares most keys with most others.
-    weight = shared.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
-    central = shared.join(weight, "key").groupBy("cls").agg(F.sum("others").alias("weight"))
-    ranked = table(shared.join(central, "cls"), "ranked")
-    pivots = ranked.groupBy("key").agg(F.max_by("cls", F.struct("weight", "cls")).alias("pivot"))
-    pairs = ranked.join(pivots, "key").filter("cls <> pivot").select(F.least("cls", "pivot").alias("u"), F.greatest("cls", "pivot").alias("v")).distinct()
-    pairs = table(pairs, "pairs")
-
-    member = table(shared.select("cls").distinct().join(classes, "cls"), "members")
-    texts = docs.join(member, docs.doc_id == member.class_id).groupBy("cls").agg(F.first("text").alias("text"))
-    sets = table(texts.select("cls", "text").mapInArrow(_describe_udf(width), "cls long, n long, sig binary, arr binary"), "described")
-    links = _links(pairs, sets, percent)
-
-    root = components(links)
-    placed = shared.join(root.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    left = table(placed.join(open_keys, "key", "left_semi"), "open")
-    other = left.select("key", F.col("cls").alias("cls2"), F.col("root").alias("root2"))
-    rest = left.join(other, "key").filter("root <> root2 and cls < cls2").select(F.col("cls").alias("u"), F.col("cls2").alias("v")).distinct()
-    rest = table(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
-    links = links.union(_links(rest, sets, percent))
+    least = shared.groupBy("key").agg(F.min("cls").alias("least"))
+    grouped = components(shared.join(least, "key").select(F.col("cls").alias("u"), F.col("least").alias("v")).distinct())
+    member = table(grouped.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes, "cls"), "members")
+    # One path at every size: the texts of candidate classes are brought together by a shuffle.
+    texts = docs.join(member.hint("merge"), docs.doc_id == member.class_id).groupBy("cls").agg(F.first("text").alias("text"), F.first("grp").alias("grp"))
+    sets = table(texts.select("cls", "text", "grp").mapInArrow(_describe_udf(width), "cls long, grp long, n long, arr binary"), "described")
+    links = _links(sets, percent)
 
     root = components(links).withColumnRenamed("node", "cls")
     named = classes.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
