@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -14,14 +15,19 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters that normalise one by one, whatever stands beside them.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
+
 class WordIds(dict):
     """white-space-free piece of a text (bytes) -> its token ids (bytes, ``kind`` a piece).
 
-    For tokenizers that drop white space and never join what it parts: the ids of a text are
-    those of its pieces in turn, so pieces can be remembered (``room`` of them at most).
+    For tokenizers that drop white space, never join what it parts, and keep a run of letters as
+    one word: the ids of a text are those of its pieces in turn, so pieces can be remembered
+    (``room`` of them at most).
     """
 
-    room = 700_000
+    room = 900_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,15 +37,20 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
         self.dtype = "<u2" if self.kind == "H" else "<u4"
+        self.word = re.compile(f"([{LETTERS}]+)([.,]?)")
+        # How the model spells each letter, asked of the tokenizer's own steps.
+        normal, parts = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        letters = filter(re.compile(f"[{LETTERS}]").match, map(chr, range(256)))
+        self.spelling = str.maketrans({c: "".join(p for p, _ in parts.pre_tokenize_str(normal.normalize_str(c))) for c in letters})
 
     def __missing__(self, piece: bytes) -> bytes:
-        if piece.isalpha():  # ASCII letters only: one word, nothing to normalise but case
-            ids = [t.id for t in self.model.tokenize(piece.decode().lower())]
-        elif piece[:-1].isalpha() and piece[-1:] in b".,":
-            return self[piece[:-1]] + self[piece[-1:]]
+        text = piece.decode("utf-8", "replace")
+        word = self.word.fullmatch(text)
+        if word and word[2]:
+            value = self[word[1].encode()] + self[word[2].encode()]
         else:
-            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = array(self.kind, ids).tobytes()
+            ids = [t.id for t in self.model.tokenize(text.translate(self.spelling))] if word else self.tokenizer.encode(text, add_special_tokens=False).ids
+            value = array(self.kind, ids).tobytes()
         if len(self) < self.room:
             self[piece] = value
         return value
