@@ -1,7 +1,7 @@
 import pytest
 
 from tests import oracle
-from tidemill.plans import catalogue
+from tidemill.plans import catalogue, flows  # noqa: F401 - registers its queries
 
 
 @pytest.fixture(scope="module")

@@ -82,3 +82,16 @@ def refire(df: DataFrame, batch: str, keys: list[str], *aggregates: Column) -> D
     """Each batch emits the aggregates of its own rows; ``again`` marks groups that an earlier batch emitted."""
     emitted = df.groupBy(batch, *keys).agg(*aggregates)
     return emitted.withColumn("again", F.row_number().over(W.partitionBy(*keys).orderBy(batch)) > 1)
+
+
+def closed(groups: DataFrame, end: str, rows: DataFrame, ms: str) -> DataFrame:
+    """The groups whose end the watermark (the greatest time of ``rows``) has reached."""
+    return groups.filter(F.col(end) <= rows.agg(F.max(ms)).scalar())
+
+
+def process_windows(df: DataFrame, ids: Column, keys: list[str], apply, schema: str) -> DataFrame:
+    """Calls ``apply`` (Arrow table -> Arrow table of ``schema``) once for each window and key.
+
+    For what aggregates can't express: a group is handed over whole.
+    """
+    return df.withColumn("window_id", ids).filter("window_id is not null").groupBy("window_id", *keys).applyInArrow(apply, schema)
