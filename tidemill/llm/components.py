@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Nothing is collected: each round is two joins on node ids, written to shared scratch space.
-Hubs are never gathered; a node's least neighbour comes from a partial aggregation, and the
-join that spreads it is one that adaptive execution can split.
+Hubs are never gathered; a node's least neighbour comes from a partial aggregation that is written,
+and the join that spreads it lies between plain shuffles, so adaptive execution can split a hub.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from tidemill.session import table
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """One star operation on (u, v) with u > v: each node's neighbours move to the least of them."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    # Written first: a join right above an aggregation is one whose hot keys Spark can't split.
+    least = table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
     joined = both.join(least, "u")
     if large:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
