@@ -215,6 +215,20 @@ def test_quality_of_held_out_documents(spark, edge, none):
     assert score_quality(none, fit_quality(none, frame)).count() == 0
 
 
+def test_quality_of_texts_without_features(spark, edge):
+    from tidemill.llm.quality import fit_quality, score_quality
+
+    docs = spark.createDataFrame([(i, f"Some words, number {i}." if i % 3 else "@@ ## 1234") for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 > 0 as long) as quality")
+    model = fit_quality(docs, labels)
+    got = {r.doc_id: r for r in score_quality(edge, model).collect()}
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+    share = np.mean([i % 3 > 0 for i in range(60) if not held_out(i)])
+    assert all(abs(got[k].score - share) < 1e-6 for k in (1, 2, 3))
+    # Far from all: cosines of zero or less weigh alike, none is lost.
+    assert 0 <= model.scores(np.eye(1, model.idf.size, dtype=np.int64))[0] <= 1
+
+
 def test_language_of_held_out_documents(spark, edge, none):
     folder = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}

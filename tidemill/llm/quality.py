@@ -83,12 +83,15 @@ class NeighbourVote:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        """The similarity-weighted share of label 1 among the nearest labelled vectors."""
+        """The similarity-weighted share of label 1 among the nearest labelled vectors; a text
+        without features is near to none and has the share of the whole sample."""
         near = self._unit(self.weighted(counts) @ self.basis) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6) ** 8
-        return np.clip((weights * self.labels[top]).sum(axis=1) / weights.sum(axis=1), 0, 1)
+        # In float64: the least weight, 1e-48, is zero in float32.
+        weights = np.maximum(np.take_along_axis(near, top, axis=1).astype(np.float64), 1e-6) ** 8
+        voted = np.clip((weights * self.labels[top]).sum(axis=1) / weights.sum(axis=1), 0, 1)
+        return np.where(counts.any(axis=1), voted, self.labels.mean(dtype=np.float64))
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +138,9 @@ def _score(model: NeighbourVote | None):
 def score_quality(docs: DataFrame, model: NeighbourVote | None, threshold: float = 0.3) -> DataFrame:
     """Scores each whole text of ``docs`` (doc_id, text).
 
-    Returns doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on). Null and empty
-    texts have no features and are scored by labelled rows in no order of nearness; without a
-    model all scores are 0.5. Repeated rows are scored one by one. No rows give no rows; other
+    Returns doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on). Texts that
+    are null, empty or white space have no features and are scored by the sample's share of label
+    1; without a model all scores are 0.5. Repeated rows are scored one by one. No rows give no rows; other
     columns are ignored.
     """
     ship(docs.sparkSession)
