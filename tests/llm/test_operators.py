@@ -197,6 +197,23 @@ def test_html_text(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_text_without_article_element():
+    long = "".join(f"<p>Paragraph {i} of the entry has clauses, and more clauses, and ends here.</p>" for i in range(9))
+    body = "\n".join(f"Paragraph {i} of the entry has clauses, and more clauses, and ends here." for i in range(9))
+    lead = "The lead tells the whole story, in short, before it is told, at length."
+    post = f"<div class=post><h1>T</h1><div class=lead>{lead}</div><div class=entry>{long}</div></div>"
+    menu = "<div class=sidebar><ul><li><a>Link</a></ul></div><div class=x><ul><li><a>One</a><li><a>Two</a></ul></div>"
+    want = f"T\n{lead}\n{body}"
+    assert html_text.main_text(f"<html><body>{post}{menu}</body></html>") == want
+    assert html_text.main_text(f"<html><body><div class=top><h1>T</h1><div class=entry>{long}</div></div>{menu}</body></html>") == f"T\n{body}"
+    assert html_text.main_text(f"<div class=lead>{lead}</div><div class=entry>{long}</div>") == f"{lead}\n{body}"
+    assert html_text.main_text(f"<html><body><h1>T <b>U</b></h1><div class=entry>{long}</div>{menu}</body></html>") == f"T U\n{body}"
+    # Classes of an ordinary container, and a form around the page.
+    assert html_text.main_text(f"<html><body><div class='post hentry tag-news'>{post}</div>{menu}</body></html>") == want
+    assert html_text.main_text(f"<html><body><form action=x>{post}{menu}<div class=cookies><p>We use cookies, ok?</p></div></form></body></html>") == want
+    assert html_text.main_text("<html><body><div class=cookies>We use cookies, ok? Accept all.</div></body></html>") == ""
+
+
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 

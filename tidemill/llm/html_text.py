@@ -4,9 +4,10 @@ A page is cut into text nodes, each with its root-to-leaf tag path. For each pat
 and the punctuation of its nodes are summed and divided by their number; along the page both
 ratios are smoothed by a small Gaussian window and fused by their product. Paths whose fused
 ratio passes a share of the deviation over the page hold content. The content nodes choose the
-container that holds most of them, and the container's blocks are the text. Parts that are
-never article (menus, forms, scripts, comments of readers, adverts and the like) are left out
-beforehand by element, role and class.
+container that holds most of them; its blocks, the content around it and the headings of both
+are the text. Parts that are never article (menus, forms, scripts, comments of readers, adverts
+and the like) are left out beforehand by element, role and class, unless such a class or form
+holds most of the page.
 """
 
 from __future__ import annotations
@@ -54,14 +55,18 @@ CONTAINED = 0.75
 
 
 class Node:
-    __slots__ = ("text", "path", "block", "chain", "linked")
+    __slots__ = ("text", "path", "block", "chain", "linked", "doubt")
 
-    def __init__(self, text: str, path: tuple, block: int, chain: tuple, linked: bool):
-        self.text, self.path, self.block, self.chain, self.linked = text, path, block, chain, linked
+    def __init__(self, text: str, path: tuple, block: int, chain: tuple, linked: bool, doubt: tuple = ()):
+        self.text, self.path, self.block, self.chain, self.linked, self.doubt = text, path, block, chain, linked, doubt
+
+    def weight(self) -> float:
+        size = len(self.text.strip())
+        return (size // 8 if self.linked else size) * (1 + len(PUNCTUATION.findall(self.text)))
 
 
 def _never(tag: str, attrs: str, inside: bool) -> int:
-    """2: never article text; 1: so unless an article starts inside; 0: it may be."""
+    """2: never article text; 1: so unless an article starts inside or it is most of the page; 0: it may be."""
     if tag in NEVER:
         return 2
     found = 1 if tag in LIFTABLE and not (inside and tag == "header") else 0
@@ -86,22 +91,22 @@ def _never(tag: str, attrs: str, inside: bool) -> int:
 def nodes(page: str) -> list[Node]:
     """The text nodes of a page that may be article text, in page order."""
     found: list[Node] = []
-    stack: list[tuple[str, int, int]] = []  # tag, number of the element, how far it is left out
+    stack: list[tuple[str, int, int, tuple]] = []  # tag, number of the element, how far it is left out, elements that leave it out by 1
     block, number, at = 0, 0, 0
     inside = 0  # open articles and mains
 
     def text(raw: str) -> None:
-        if stack and stack[-1][2]:
+        if stack and stack[-1][2] == 2:
             return
         if "&" in raw:
             raw = html.unescape(raw)
         if not raw:
             return
-        found.append(Node(raw, tuple(s[0] for s in stack), block, tuple(s[1] for s in stack), any(s[0] == "a" for s in stack)))
+        found.append(Node(raw, tuple(s[0] for s in stack), block, tuple(s[1] for s in stack), any(s[0] == "a" for s in stack), stack[-1][3] if stack else ()))
 
     def pop(to: int) -> None:
         nonlocal inside, block
-        for tag, _, _ in stack[to:]:
+        for tag, *_ in stack[to:]:
             inside -= tag in ("article", "main")
             block += tag in BLOCK
         del stack[to:]
@@ -153,10 +158,12 @@ def nodes(page: str) -> list[Node]:
             continue
         attrs = m["attrs"].strip()
         out = _never(tag, attrs, inside > 0)
-        above = stack[-1][2] if stack else 0
+        above, doubt = (stack[-1][2], stack[-1][3]) if stack else (0, ())
         if above == 1 and tag in ("article", "main") and out == 0:
-            above = 0
+            above, doubt = 0, ()
         number += 1
+        if out == 1:
+            doubt = (*doubt, number)
         out = max(out, above)
         if attrs.endswith("/") and tag in ("svg", "path", "use"):
             continue
@@ -166,8 +173,32 @@ def nodes(page: str) -> list[Node]:
             continue
         if tag in ("article", "main") or 'role="main"' in attrs:
             inside += tag in ("article", "main")
-        stack.append((tag, number, out))
-    return found
+        stack.append((tag, number, out, doubt))
+    return without_doubt(found)
+
+
+def without_doubt(found: list[Node]) -> list[Node]:
+    """``found`` without what a class, role or form leaves out, but for elements that hold most of
+    the text weight of a page without article: of two unlinked blocks or more, with punctuation."""
+    lifted: set[int] = set()
+    if any(n.doubt for n in found) and not any(n.text.strip() and not n.doubt and ("article" in n.path or "main" in n.path) for n in found):
+        held: dict[int, float] = {}
+        blocks: dict[int, set[int]] = {}
+        marked: set[int] = set()
+        total = 0.0
+        for n in found:
+            if not n.text.strip():
+                continue
+            weight = n.weight()
+            total += weight
+            for e in n.doubt:
+                held[e] = held.get(e, 0) + weight
+                if not n.linked:
+                    blocks.setdefault(e, set()).add(n.block)
+                    if PUNCTUATION.search(n.text):
+                        marked.add(e)
+        lifted = {e for e, w in held.items() if 2 * w > total and e in marked and len(blocks[e]) > 1}
+    return [n for n in found if lifted.issuperset(n.doubt)]
 
 
 def content_paths(found: list[Node]) -> set[tuple]:
@@ -209,6 +240,52 @@ def container(chosen: list[Node]) -> int | None:
     return max(fit) if fit else None  # elements are numbered from the top down
 
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def around(found: list[Node], chosen: list[Node], chains: list[tuple], holder: int) -> set[int]:
+    """Positions in ``found`` of what belongs to the text besides the holder's: the other content
+    under the element that spans it all, with the elements that consist of it, and headings there;
+    then the nearest heading before that element, if it has none of this level.
+
+    ``chains``: of each chosen node the elements above paragraphs and the like.
+    """
+    wide, depth = 0, 0  # 0: the page, where it has no outermost element
+    for level in zip(*chains):
+        if len(set(level)) > 1:
+            break
+        wide, depth = level[0], depth + 1
+    blocks = {n.block for n in chosen}
+    whole: dict[int, int] = {}
+    content: dict[int, int] = {}
+    for n in found:
+        size = len(n.text.strip())
+        for e in n.chain[depth:] if not wide or wide in n.chain else ():
+            whole[e] = whole.get(e, 0) + size
+            if n.block in blocks:
+                content[e] = content.get(e, 0) + size
+    mostly = {e for e, size in content.items() if size >= CONTAINED * whole[e]}
+    kept = {i for i, n in enumerate(found) if (not wide or wide in n.chain) and (holder in n.chain or n.block in blocks or any(h in n.path for h in HEADINGS) or not mostly.isdisjoint(n.chain))}
+    inner = [n for i, n in enumerate(found) if i in kept]
+    ranks = {h for n in inner for h in HEADINGS if h in n.path}
+    above = set(chains[0][: max(0, depth - 1)])
+    near: list[int] = []
+    heading = None
+    for i in range(min(kept) - 1, -1, -1):
+        n = found[i]
+        at = next((k for k, tag in enumerate(n.path) if tag in HEADINGS), None)
+        if at and n.chain[at - 1] in above and n.text.strip():
+            if heading is None and min(ranks, default="h9") <= n.path[at]:
+                break
+            if heading is not None and n.chain[at] != heading:
+                break
+            heading = n.chain[at]
+            near.append(i)
+        elif near and n.text.strip():
+            break
+    return kept | set(near)
+
+
 #: Elements that are parts of a text, never its container.
 PARTS = frozenset("p b i em strong span a li ul ol dl dt dd blockquote h1 h2 h3 h4 h5 h6 pre code table tbody tr td th figure figcaption u s small sub sup q cite font".split())
 
@@ -228,18 +305,23 @@ def main_text(page: str | None) -> str:
         while k and n.path[k - 1] in PARTS:
             k -= 1
         trimmed.append(Node(n.text, n.path[:k], n.block, n.chain[:k], n.linked))
+    named = False
     for name in ("article", "main"):  # content in an article is read from the outermost such element
         share = sum(len(n.text) for n in trimmed if name in n.path)
         if 2 * share > sum(len(n.text) for n in trimmed):
             trimmed = [Node(n.text, n.path, n.block, n.chain[: n.path.index(name) + 1], n.linked) for n in trimmed if name in n.path]
+            named = True
             break
     holder = container(trimmed)
     general = holder is None or any(holder in n.chain and n.path[n.chain.index(holder)] in ("html", "body") for n in trimmed[:1])
     if general:
         blocks = {n.block for n in chosen}
-        kept = [n for n in found if n.block in blocks or (n.path and n.path[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"))]
-    else:
+        kept = [n for n in found if n.block in blocks or (n.path and n.path[-1] in HEADINGS)]
+    elif named:
         kept = [n for n in found if holder in n.chain]
+    else:
+        near = around(found, chosen, [n.chain for n in trimmed], holder)
+        kept = [n for i, n in enumerate(found) if i in near]
     lines: list[list[str]] = []
     last = None
     for n in kept:
