@@ -146,6 +146,15 @@ def test_ngram_join_over_many_chunks(spark, edge, none, monkeypatch):
     assert ngram_join.ngram_join(none).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [100, 1_000_000])
+def test_ngram_join_counts_every_link(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", chunk)
+    near = [(i, " ".join(f"w{k}" for k in range(60)) + f" tail{i}") for i in range(8)]
+    rows = [*near, (20, near[3][1]), (21, "something else that stands alone, with no link"), (22, None)]
+    got = {r.doc_id: (r.component_id, r.n_links, r.kept) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 7, i == 0) for i in [*range(8), 20]} | {21: (21, 0, True), 22: (22, 0, True)}
+
+
 def test_tile_keys_meet_for_all_linked_sets():
     rng = np.random.default_rng(3)
     for percent in (80, 85):

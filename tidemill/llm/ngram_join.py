@@ -15,9 +15,9 @@ Keys travel sorted and packed. Their buckets return only keys that two classes o
 and classes that share keys, also through others, form a candidate group. A group's classes meet
 in tiles of one band and the next; a large tile is cut to chunks, and each pair of chunks is a
 task of its own. A task folds each set to a bitmap signature; the bits that two signatures share
-bound the overlap from above, and only pairs that may reach the threshold, and are not yet
-connected within the task, have their sorted arrays intersected. So a task returns a spanning set
-of its links, never all pairs.
+bound the overlap from above, and all pairs that may reach the threshold are intersected. Each
+pair meets in one task; a task returns how many links each class has in it, and of the links a
+spanning set, so its rows grow with the classes and not with the pairs.
 """
 
 from __future__ import annotations
@@ -127,25 +127,21 @@ class Unions:
         self.up[self.root(i)] = self.root(j)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    both = np.concatenate((a, b))
-    both.sort()
-    return int((both[1:] == both[:-1]).sum())
-
-
-def tile_links(sets: list[np.ndarray], low: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that span what all links of a task connect.
+def tile_links(sets: list[np.ndarray], low: np.ndarray, side: np.ndarray, across: bool, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that span what all links of a task connect, and the number of links of each set.
 
     ``low``: in the tile's own band (two sets of the next band meet in the next tile). ``side``:
-    the chunk, 0 or 1; if there are two, only pairs across them are compared.
+    the chunk, 0 or 1; if ``across``, only pairs of two chunks are compared.
     """
     order = np.argsort([len(x) for x in sets], kind="stable")
     sets, low, side = [sets[i] for i in order], low[order], side[order]
     size = np.array([len(x) for x in sets], np.int64)
     bits = signatures(sets)
     ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    across = bool(side.any()) and not bool(side.all())
-    unions, found = Unions(len(sets)), []
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    marked = np.zeros(len(names), bool)
+    unions, found, degree = Unions(len(sets)), [], np.zeros(len(sets), np.int64)
     for i in range(len(sets) - 1):
         if not low[i]:
             break
@@ -157,16 +153,31 @@ def tile_links(sets: list[np.ndarray], low: np.ndarray, side: np.ndarray, percen
             continue
         shared = np.bitwise_count(bits[near] & bits[i]).sum(axis=1, dtype=np.int64)
         most = np.minimum(size[i] - (ones[i] - shared), size[near] - (ones[near] - shared))
-        for j in near[most * (100 + percent) >= percent * (size[i] + size[near])].tolist():
-            if unions.root(i) != unions.root(j):
-                same = overlap(sets[i], sets[j])
-                if 100 * same >= percent * int(size[i] + size[j] - same):
+        near = near[most * (100 + percent) >= percent * (size[i] + size[near])]
+        if not len(near):
+            continue
+        mine = flat[starts[i] : starts[i] + size[i]]
+        marked[mine] = True
+        for part in np.array_split(near, 1 + int(size[near].sum()) // CHUNK_SHINGLES):
+            if not len(part):
+                continue
+            first = np.cumsum(size[part]) - size[part]
+            at = np.arange(int(size[part].sum())) + np.repeat(starts[part] - first, size[part])
+            same = np.add.reduceat(marked[flat[at]], first, dtype=np.int64)
+            linked = part[100 * same >= percent * (size[i] + size[part] - same)]
+            degree[i] += len(linked)
+            degree[linked] += 1
+            for j in linked.tolist():
+                if unions.root(i) != unions.root(j):
                     unions.join(i, j)
                     found.append((int(order[i]), int(order[j])))
-    return found
+        marked[mine] = False
+    links = np.zeros(len(sets), np.int64)
+    links[order] = degree
+    return found, links
 
 
-def _sets_udf(width: int):
+def _sets_udf(width: int, keep: list[str]):
     hashes = WordHashes()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +187,8 @@ def _sets_udf(width: int):
                 found = shingles(text.as_py() or b"", width, hashes)
                 n.append(len(found))
                 ids.append(set_id(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n", "cls"])
+            kept = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *kept], ["doc_id", "n", "cls", *keep])
 
     return sets
 
@@ -258,10 +270,14 @@ def _tile(percent: int):
         cls = group.column("cls").to_numpy()
         low = group.column("low").to_numpy(zero_copy_only=False)
         if not low.any() or len(cls) < 2:
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+            return pa.table({name: pa.array([], pa.int64()) for name in ("u", "v", "n")})
         sets = [unpacked_sorted(x.as_py()) for x in group.column("arr")]
-        pairs = tile_links(sets, low, group.column("side").to_numpy(), percent)
-        return pa.table({"u": pa.array([cls[i] for i, _ in pairs], pa.int64()), "v": pa.array([cls[j] for _, j in pairs], pa.int64())})
+        across = group.column("a")[0].as_py() != group.column("b")[0].as_py()
+        pairs, links = tile_links(sets, low, group.column("side").to_numpy(), across, percent)
+        some = np.flatnonzero(links)
+        u = [cls[i] for i, _ in pairs] + cls[some].tolist()
+        v = [cls[j] for _, j in pairs] + [None] * len(some)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array([None] * len(pairs) + links[some].tolist(), pa.int64())})
 
     return tile
 
@@ -276,7 +292,8 @@ def _band_udf(percent: int):
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of classes (cls, grp, n, arr) that span those of each candidate group."""
+    """Links (u, v) of classes (cls, grp, n, arr) that span those of each candidate group; where v
+    is null, n links of class u."""
     own = sets.withColumn("band", _band_udf(percent)("n"))
     tiles = F.explode(F.array_distinct(F.array(F.col("band"), F.greatest(F.lit(0), F.col("band") - 1)))).alias("tile")
     seated = own.select("cls", "grp", "n", "band", "arr", tiles)
@@ -287,24 +304,29 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     rows = pairs.select(
         "grp", "tile", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "cls", (F.col("band") == F.col("tile")).alias("low"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "arr"
     )
-    return table(rows.groupBy("grp", "tile", "a", "b").applyInArrow(_tile(percent), "u long, v long"), "links")
+    return table(rows.groupBy("grp", "tile", "a", "b").applyInArrow(_tile(percent), "u long, v long, n long"), "links")
 
 
-def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """Links rows of ``docs`` (doc_id, text) whose sets of ``width``-word shingles have a Jaccard
     similarity of ``percent`` / 100 or more.
 
     Words are runs without ASCII white space, A-Z lower-cased. A text of fewer words is one
-    shingle. Returns doc_id, n_shingles, class_id (smallest doc_id of an equal set) and
-    component_id (smallest doc_id that links reach). Texts that are null, empty or without words
-    have no shingles and link with nothing: class and component are their own doc_id. Repeated
-    rows are equal sets. No rows give no rows; other columns are ignored. Sets are equal when
+    shingle. Returns doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id
+    (smallest doc_id that links reach), n_links (other classes that the row's class links with),
+    kept (true for one row of each component, of smallest doc_id, null before all others) and the
+    columns of ``keep``. Texts that are null, empty or without words have no shingles and link with
+    nothing: class and component are their own doc_id, and all are kept. Repeated rows are equal
+    sets. No rows give no rows; other columns are ignored. Sets are equal when
     their 64-bit digests are; shingles when their 64-bit hashes are.
     """
     ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    narrow = table(docs.mapInArrow(_sets_udf(width), "doc_id long, n long, cls long"), "sets")
-    classes = narrow.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
+    source = docs.select("doc_id", "text", *keep)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
+    udf = _sets_udf(width, list(keep))
+    narrow = table(source.mapInArrow(udf, f"doc_id long, n long, cls long{kinds}").withColumn("_row", F.monotonically_increasing_id()), "sets")
+    classes = narrow.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "_row")).alias("_first"))
+    classes = table(classes, "classes")
 
     total = narrow.agg(F.sum("n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, 0.5 * total / BUCKET_KEYS))))
@@ -313,16 +335,23 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     least = shared.groupBy("key").agg(F.min("cls").alias("least"))
     grouped = components(shared.join(least, "key").select(F.col("cls").alias("u"), F.col("least").alias("v")).distinct())
-    member = table(grouped.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes, "cls"), "members")
+    member = table(grouped.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "class_id"), "cls"), "members")
     # One path at every size: the texts of candidate classes are brought together by a shuffle.
     texts = docs.join(member.hint("merge"), docs.doc_id == member.class_id).groupBy("cls").agg(F.first("text").alias("text"), F.first("grp").alias("grp"))
     sets = table(texts.select("cls", "text", "grp").mapInArrow(_describe_udf(width), "cls long, grp long, n long, arr binary"), "described")
     links = _links(sets, percent)
 
-    root = components(links).withColumnRenamed("node", "cls")
+    root = components(links.filter("v is not null").select("u", "v")).withColumnRenamed("node", "cls")
+    counts = links.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("n_links"))
     named = classes.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    low = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = table(named.join(low, "root").select("cls", "class_id", "component_id"), "named")
+    low = named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("_first").alias("_first"))
+    named = table(named.drop("_first").join(low, "root").join(counts, "cls", "left").select("cls", "class_id", "component_id", "n_links", F.col("_first._row").alias("_kept")), "named")
     return narrow.join(named, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (F.col("cls").isNull() | (F.col("_kept") == F.col("_row"))).alias("kept"),
+        *keep,
     )
