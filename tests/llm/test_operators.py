@@ -155,6 +155,13 @@ def test_ngram_join_counts_every_link(spark, monkeypatch, chunk):
     assert got == {i: (0, 7, i == 0) for i in [*range(8), 20]} | {21: (21, 0, True), 22: (22, 0, True)}
 
 
+def test_ngram_join_of_texts_that_share_an_id_or_have_none(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (None, c), (None, c + " tail")]
+    got = {(r.doc_id, r.t): r.n_links for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, t string").selectExpr("*", "t as text"), keep=("t",)).collect()}
+    assert got == {row: 1 for row in rows}
+
+
 def test_tile_keys_meet_for_all_linked_sets():
     rng = np.random.default_rng(3)
     for percent in (80, 85):

@@ -23,6 +23,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows of documents apart: doc_id, which may be null or repeat, and 128 bits of the
+    text. Never null itself, and equal for rows that repeat both."""
+    return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("k"))
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash; remembers at most ``room`` words."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WordHashes, mixed, packed_sorted, rolled, signed, unpacked_sorted
+from tidemill.llm.common import WordHashes, mixed, packed_sorted, rolled, row_key, signed, unpacked_sorted
 from tidemill.llm.components import components
 from tidemill.session import ship, table
 
@@ -317,15 +317,17 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     kept (true for one row of each component, of smallest doc_id, null before all others) and the
     columns of ``keep``. Texts that are null, empty or without words have no shingles and link with
     nothing: class and component are their own doc_id, and all are kept. Repeated rows are equal
-    sets. No rows give no rows; other columns are ignored. Sets are equal when
+    sets. Different texts may share a doc_id or have none; ids are then equal or null, while links
+    and kept go by the sets. No rows give no rows; other columns are ignored. Sets are equal when
     their 64-bit digests are; shingles when their 64-bit hashes are.
     """
     ship(docs.sparkSession)
-    source = docs.select("doc_id", "text", *keep)
+    # A text is found again by its doc_id and two hashes: doc_ids may repeat or be null.
+    source = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("_id"), *keep)
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
-    udf = _sets_udf(width, list(keep))
+    udf = _sets_udf(width, ["_id", *keep])
     narrow = table(source.mapInArrow(udf, f"doc_id long, n long, cls long{kinds}").withColumn("_row", F.monotonically_increasing_id()), "sets")
-    classes = narrow.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "_row")).alias("_first"))
+    classes = narrow.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min("_id").alias("_id"), F.min(F.struct("doc_id", "_row")).alias("_first"))
     classes = table(classes, "classes")
 
     total = narrow.agg(F.sum("n")).first()[0] or 0
@@ -335,15 +337,15 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
 
     least = shared.groupBy("key").agg(F.min("cls").alias("least"))
     grouped = components(shared.join(least, "key").select(F.col("cls").alias("u"), F.col("least").alias("v")).distinct())
-    member = table(grouped.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "class_id"), "cls"), "members")
+    member = table(grouped.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "_id"), "cls"), "members")
     # One path at every size: the texts of candidate classes are brought together by a shuffle.
-    texts = docs.join(member.hint("merge"), docs.doc_id == member.class_id).groupBy("cls").agg(F.first("text").alias("text"), F.first("grp").alias("grp"))
+    texts = source.select("text", "_id").join(member.hint("merge"), "_id").groupBy("cls").agg(F.first("text").alias("text"), F.first("grp").alias("grp"))
     sets = table(texts.select("cls", "text", "grp").mapInArrow(_describe_udf(width), "cls long, grp long, n long, arr binary"), "described")
     links = _links(sets, percent)
 
     root = components(links.filter("v is not null").select("u", "v")).withColumnRenamed("node", "cls")
     counts = links.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("n_links"))
-    named = classes.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = classes.drop("_id").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     low = named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("_first").alias("_first"))
     named = table(named.drop("_first").join(low, "root").join(counts, "cls", "left").select("cls", "class_id", "component_id", "n_links", F.col("_first._row").alias("_kept")), "named")
     return narrow.join(named, "cls", "left").select(
