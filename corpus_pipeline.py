@@ -1,13 +1,16 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next one's docs. All but the last return the columns of documents.
+next one's docs. All but the last return the columns of documents. Rows are told apart by doc_id
+and text, so that doc_ids may be null or repeat.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemill.llm.common import row_key
 from tidemill.llm.decontamination import decontaminate
 from tidemill.llm.exact_dedup import exact_dedup
 from tidemill.llm.ngram_join import ngram_join
@@ -19,35 +22,51 @@ from tidemill.session import table
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
+KEY = "_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, row_key(F.col("doc_id"), F.col("text")))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the doc_ids of ``gone``; rows without doc_id stay."""
-    return docs.join(table(gone.select("doc_id"), "gone"), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows whose keys are in ``gone``."""
+    return _keyed(docs).join(table(gone.select(KEY), "gone"), KEY, "left_anti").select(docs.columns)
+
+
+def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept in ``judged``; of rows that repeat doc_id and text and are
+    not all kept, one or none."""
+    share = judged.groupBy(KEY).agg(F.count_if("kept").alias("some"), F.count(F.lit(1)).alias("all"))
+    share = table(share.filter("some < all"), "not_all_kept")
+    left = _keyed(docs).join(share.filter("some = 0").select(KEY), KEY, "left_anti")
+    # Rows that repeat a kept one: only where there are some is another shuffle due.
+    again = share.filter("some > 0").select(KEY)
+    if not again.isEmpty():
+        left = left.join(again, KEY, "left_anti").union(left.join(again, KEY, "left_semi").dropDuplicates([KEY]))
+    return left.select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; all others stay as they are."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, score_quality(docs, model).filter("predicted = 0"))
+    return _without(docs, score_quality(_keyed(docs), model, keep=(KEY,)).filter("predicted = 0"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one of smallest doc_id stays; of whole repeated rows one."""
-    groups = table(exact_dedup(docs), "groups")
-    left = _without(docs, groups.filter("doc_id <> keep_id"))
-    # Rows that repeat a doc_id as well: only where there are some is another shuffle due.
-    repeated = groups.filter("not kept and (doc_id = keep_id or doc_id is null)")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    """Of documents with equal text the one of smallest doc_id stays, null before all others."""
+    return _kept(docs, exact_dedup(_keyed(docs), keep=(KEY,)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest doc_id stays."""
-    linked = ngram_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    return _without(docs, linked.filter("doc_id <> component_id"))
+    """Of each group of near duplicates the document of smallest doc_id stays, null before all others."""
+    return _kept(docs, ngram_join(_keyed(docs), SHINGLE_WORDS, SIMILAR_PERCENT, keep=(KEY,)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
+    found = decontaminate(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(KEY,))
+    return _without(docs, found.filter("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -343,3 +343,22 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert set(texts[4]) == clean
     packed = p.STAGES[-1][1](spark, frames[-1], folder)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == clean
+
+
+def test_pipeline_of_rows_without_id_or_with_a_shared_one(spark, tmp_path):
+    import corpus_pipeline as p
+
+    near = " ".join(f"w{k}" for k in range(60))
+    leak = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = {name: lambda rows, f=f: sorted(((r.doc_id, r.text) for r in f(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()), key=str) for name, f in p.STAGES}
+    same = lambda *rows: sorted(rows, key=str)
+    exact = stage["exact dedup"]
+    assert exact([(None, "a b"), (5, "a b"), (6, "a  b"), (5, "c"), (5, "c"), (5, "d"), (None, "d")]) == same((None, "a b"), (5, "c"), (None, "d"))
+    assert stage["n-gram Jaccard join"]([(None, near), (1, near + " x"), (1, "else"), (2, near + " y"), (3, None), (3, None)]) == same((None, near), (1, "else"), (3, None), (3, None))
+    assert stage["benchmark decontamination"]([(None, leak), (None, "clean"), (1, leak + " x"), (1, "clean")]) == same((None, "clean"), (1, "clean"))
+    good, bad = "Some plain words, and more of them.", "@@ ## 1234 %% 99"
+    rows = [(i, (good if i % 2 else bad) + f" {i}") for i in range(60)]
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    left = stage["quality classifier"]([*rows, (None, bad), (None, good), (100, bad), (100, good)])
+    assert [r for r in left if r[0] in (None, 100)] == same((None, good), (100, good))

@@ -47,11 +47,11 @@ def windows(bench: DataFrame, size: int) -> DataFrame:
 class PositionalIndex:
     """Tokenised documents and the postings of the terms that select benchmark windows."""
 
-    def __init__(self, docs: DataFrame, bench: DataFrame, size: int = 10):
+    def __init__(self, docs: DataFrame, bench: DataFrame, size: int = 10, keep: tuple[str, ...] = ()):
         if size < 1:
             raise ValueError("a window has one word at least")
         self.size = size
-        self.tokens = table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", body(F.col("text")).alias("body")), "tokens")
+        self.tokens = table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", body(F.col("text")).alias("body"), *keep), "tokens")
         self.windows = table(windows(bench, size), "windows")
         terms = self.windows.select(F.explode("seq").alias("term")).distinct()
         vocabulary = table(terms, "vocabulary")
@@ -111,16 +111,16 @@ class PositionalIndex:
         return anchor.filter(F.col("high") - F.col("low") < span).join(names, "row").select("doc_id", "win", F.col("low").alias("start"), (F.col("high") + 1).alias("end")).distinct()
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """Finds the windows of ``bench`` (item_id, text) in ``docs`` (doc_id, text).
 
     A window is ``size`` consecutive words of an item, or all words of a shorter item. Returns
     doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256 (of the sorted,
-    comma-joined item_ids whose windows occur) and contaminated. Null and empty texts have no
+    comma-joined item_ids whose windows occur), contaminated and the columns of ``keep``. Null and empty texts have no
     words: as documents they are never hit, as items they have no window. Repeated rows, also
     of one doc_id, are judged one by one. Empty tables are allowed; other columns are ignored.
     """
-    index = PositionalIndex(docs, bench, size)
+    index = PositionalIndex(docs, bench, size, keep)
     found = index.phrases()
     reached = F.max(F.col("start") + F.col("len")).over(W.partitionBy("row").orderBy("start", "len").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("len") - F.greatest("start", F.coalesce(reached, F.lit(0))))
@@ -137,4 +137,5 @@ def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFram
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *keep,
     )

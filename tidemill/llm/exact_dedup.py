@@ -138,10 +138,11 @@ def repeated_prints(prints: DataFrame, rows: int) -> DataFrame:
     return parts.groupBy("block").applyInArrow(_repeated, "fp long, n long")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Groups rows of ``docs`` (doc_id, text) by identical normalised text.
 
-    Returns doc_id, keep_id (smallest doc_id of the group), group_size, kept, text_sha256.
+    Returns doc_id, keep_id (smallest doc_id of the group), group_size, kept, text_sha256 and
+    the columns of ``keep``.
     A null text counts as empty, so null and empty texts form one group. Of rows that share
     the smallest doc_id one is kept. A null doc_id sorts before all others. No rows give no
     rows; other columns are ignored.
@@ -150,7 +151,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     ship(spark)
     text = normalised(F.col("text"))
     narrow = table(
-        docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("t")).select("row", "doc_id", F.xxhash64("t").alias("fp"), F.unhex(F.sha2("t", 256)).alias("sha")),
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("t"), *keep).select("row", "doc_id", F.xxhash64("t").alias("fp"), F.unhex(F.sha2("t", 256)).alias("sha"), *keep),
         "prints",
     )
     repeated = table(repeated_prints(narrow.select("fp"), narrow.count()).select("fp"), "repeated")
@@ -173,4 +174,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("first").isNull() | (F.col("first.row") == F.col("row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *keep,
     )

@@ -130,19 +130,21 @@ def _score(model: NeighbourVote | None):
                     got = np.full(part.num_rows, 0.5)
                 else:
                     got = model.scores(np.array([features.counts(t.as_py() or b"") for t in part.column(1).cast(pa.large_binary())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.astype(np.float64))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.astype(np.float64)), *part.columns[2:]], ["doc_id", "score", *part.schema.names[2:]])
 
     return score
 
 
-def score_quality(docs: DataFrame, model: NeighbourVote | None, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, model: NeighbourVote | None, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores each whole text of ``docs`` (doc_id, text).
 
-    Returns doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on). Texts that
-    are null, empty or white space have no features and are scored by the sample's share of label
+    Returns doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on) and the columns of
+    ``keep``. Texts that are null, empty or white space have no features and are scored by the sample's share of label
     1; without a model all scores are 0.5. Repeated rows are scored one by one. No rows give no rows; other
     columns are ignored.
     """
     ship(docs.sparkSession)
-    found = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select("doc_id", "text", *keep)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    found = rows.mapInArrow(_score(model), f"doc_id long, score double{kinds}")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep)
