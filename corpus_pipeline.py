@@ -65,7 +65,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = decontaminate(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(KEY,))
+    found = decontaminate(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(KEY,), span=None)
     return _without(docs, found.filter("contaminated"))
 
 

@@ -186,6 +186,27 @@ def test_decontamination_edges(spark, edge, none):
     assert {4, 5, 6, 7} == {r.doc_id for r in near}
 
 
+def test_proximity_matches_by_brute_force(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta eta delta")], "item_id long, text string")
+    far = ["x"] * 120
+    for at, word in ((100, "alpha"), (93, "beta"), (108, "beta"), (107, "gamma")):
+        far[at] = word
+    rng = np.random.default_rng(2)
+    texts = [" ".join(far), "alpha x beta", "", *(" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta x y z".split(), 60)) for _ in range(12))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for d, text in enumerate(texts):
+        w = text.split()
+        for item, seq in (("1", "alpha beta gamma"), ("2", "delta epsilon zeta eta delta")):
+            terms = set(seq.split())
+            spans = [(s, e) for s in range(len(w)) for e in range(s + 1, min(len(w), s + 10) + 1) if terms <= set(w[s:e])]
+            want[d, item] = [(s, e) for s, e in spans if not any((a, b) != (s, e) and s <= a and b <= e for a, b in spans)]
+    got = sorted((r.doc_id, r.start, r.end) for r in PositionalIndex(docs, bench).proximity(10).collect())
+    assert got == sorted((d, s, e) for (d, _), found in want.items() for s, e in found) and (0, 100, 109) in got
+    for r in decontaminate(docs, bench, span=10).collect():
+        assert r.n_near == sum(len(want[r.doc_id, i]) for i in "12") and r.near_items == [i for i in "12" if want[r.doc_id, i]]
+
+
 def test_warc_round_trip(spark, none):
     pages = spark.createDataFrame([(3, "u", "<p>a"), (1, None, "<p>a"), (1, None, "<p>a"), (2, "v\n", None), (4, "w", ""), (5, "x", "é" * 100_000), (None, "y", "<p>a")], "page_id long, url string, html string")
     archives = warc.write_archives(pages)

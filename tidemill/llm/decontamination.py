@@ -5,8 +5,8 @@ The index holds postings (term, row, position) of the corpus for the terms that
 each benchmark window, its rarest words by corpus count. A window's rarest list, shifted by the
 word's offset, gives places where the window could start; the next rarest lists, shifted
 likewise, are intersected with them. What is left is compared word for word with the
-document, so matches are exact. Proximity matches use the same lists: the rarest words of a
-window within a given span, in any order.
+document, so matches are exact. Proximity matches hold all distinct words of a window within a
+given span, in any order: the same lists choose places where they may be, the words decide.
 """
 
 from __future__ import annotations
@@ -93,30 +93,49 @@ class PositionalIndex:
         at = F.filter("starts", lambda s: F.array_join(F.slice(F.col("w"), s + 1, F.col("len")), " ") == F.col("phrase"))
         return table(per.join(texts, "row").select("row", "win", "len", F.explode(at).alias("start")), "phrases")
 
-    def proximity(self, span: int) -> DataFrame:
-        """(doc_id, win, start, end): the rarest words of a window (as many as are listed) within
-        ``span`` words of one another, in any order, around each place of the rarest."""
-        anchor = self.lists.filter("list = 1").select("win", "term").join(self.postings, "term").select("win", "row", F.col("pos").alias("at"))
-        anchor = anchor.withColumn("low", F.col("at")).withColumn("high", F.col("at"))
-        for k in range(2, LISTS + 1):
+    def near(self, span: int) -> DataFrame:
+        """(row, win, start, end): each least stretch of a document that holds all distinct words of
+        a window, in any order, within ``span`` words, or the window's own length if that is more."""
+        most = max(span, self.size)
+        own = self.lists.filter("list = 1").select("win", "term", F.greatest(F.lit(span), F.col("len")).alias("most"))
+        anchor = own.join(self.postings, "term").select("win", "row", "most", F.col("pos").alias("at"))
+        for k in range(2, LISTS + 1):  # only places that have each listed word near enough, on either side
             other = self.lists.filter(F.col("list") == k).select("win", F.col("term").alias("t"))
-            near = self.postings.select(F.col("term").alias("t"), "row", "pos", F.floor(F.col("pos") / span).alias("cell"))
-            cells = F.explode(F.sequence(F.floor(F.col("at") / span) - 1, F.floor(F.col("at") / span) + 1)).alias("cell")
+            held = self.postings.select(F.col("term").alias("t"), "row", "pos", F.floor(F.col("pos") / most).alias("cell"))
+            cells = F.explode(F.sequence(F.floor(F.col("at") / most) - 1, F.floor(F.col("at") / most) + 1)).alias("cell")
             wide = anchor.join(other, "win", "left")
-            some = wide.filter("t is not null").select("*", cells).join(near, ["t", "row", "cell"]).filter(F.abs(F.col("pos") - F.col("at")) < span)
-            nearest = some.groupBy("win", "row", "at").agg(F.min_by(F.struct("low", "high", "pos"), F.struct(F.abs(F.col("pos") - F.col("at")), "pos")).alias("x"))
-            grown = nearest.select("win", "row", "at", F.least("x.low", "x.pos").alias("low"), F.greatest("x.high", "x.pos").alias("high"))
-            anchor = wide.filter("t is null").select("win", "row", "at", "low", "high").union(grown)
-        names = self.tokens.select("row", "doc_id")
-        return anchor.filter(F.col("high") - F.col("low") < span).join(names, "row").select("doc_id", "win", F.col("low").alias("start"), (F.col("high") + 1).alias("end")).distinct()
+            some = wide.filter("t is not null").select("*", cells).alias("a")
+            close = some.join(held.alias("h"), F.expr("a.t = h.t and a.row = h.row and a.cell = h.cell and abs(h.pos - a.at) < a.most"), "left_semi")
+            anchor = wide.filter("t is null").select("win", "row", "most", "at").union(close.select("win", "row", "most", "at").distinct())
+        found = table(anchor, "anchors")
+        rows = table(found.select("row").distinct(), "anchor_rows")
+        texts = self.tokens.join(rows, "row", "left_semi").select("row", F.split("body", " ", -1).alias("w"))
+        terms = self.windows.select("win", F.array_distinct("seq").alias("terms"))
+        per = found.groupBy("row", "win", "most").agg(F.collect_set("at").alias("ats")).join(terms, "win").join(texts, "row")
+        low = lambda at: F.greatest(F.lit(0), at - F.col("most") + 1)
+        parts = F.transform("ats", lambda at: F.struct(low(at).alias("low"), at.alias("at"), F.slice(F.col("w"), low(at) + 1, at - low(at) + F.col("most")).alias("words")))
+        part = per.select("row", "win", "most", "terms", F.explode(parts).alias("p")).filter("size(array_except(terms, p.words)) = 0")
+        each = part.select("row", "win", "most", "terms", "p.low", "p.words", F.explode(F.sequence(F.lit(0), F.col("p.at") - F.col("p.low"))).alias("s"))
+        each = each.select("row", "win", "terms", (F.col("low") + F.col("s")).alias("start"), F.slice("words", F.col("s") + 1, F.col("most")).alias("r"))
+        each = each.filter("array_contains(terms, r[0]) and size(array_except(terms, r)) = 0")
+        each = each.withColumn("n", F.expr("cast(array_max(transform(terms, t -> array_position(r, t))) as int)"))
+        least = each.filter("not array_contains(slice(r, 2, n - 1), r[0])")
+        return table(least.select("row", "win", "start", (F.col("start") + F.col("n")).alias("end")).distinct(), "near")
+
+    def proximity(self, span: int) -> DataFrame:
+        """(doc_id, win, start, end): the stretches of ``near`` with the doc_id of their row."""
+        return self.near(span).join(self.tokens.select("row", "doc_id"), "row").select("doc_id", "win", "start", "end")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 10, keep: tuple[str, ...] = (), span: int | None = 20) -> DataFrame:
     """Finds the windows of ``bench`` (item_id, text) in ``docs`` (doc_id, text).
 
     A window is ``size`` consecutive words of an item, or all words of a shorter item. Returns
     doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256 (of the sorted,
-    comma-joined item_ids whose windows occur), contaminated and the columns of ``keep``. Null and empty texts have no
+    comma-joined item_ids whose windows occur), contaminated (by such an
+    occurrence), n_near (least stretches that hold all distinct words of a window within ``span``
+    words, in any order), near_items (their item_ids, sorted) and the columns of ``keep``. Without
+    a span proximity is not looked for, and its two columns are left out. Null and empty texts have no
     words: as documents they are never hit, as items they have no window. Repeated rows, also
     of one doc_id, are judged one by one. Empty tables are allowed; other columns are ignored.
     """
@@ -128,14 +147,23 @@ def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 10, keep: tuple
     held = found.select("row", "win").distinct().join(index.windows.select("win", F.explode("items").alias("item")), "win").select("row", "item").distinct()
     items = held.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     per_row = table(hits.join(items, "row"), "hits")
+    tokens, proximity = index.tokens, []
+    if span is not None:
+        near = index.near(span)
+        count_near = near.groupBy("row").agg(F.count(F.lit(1)).alias("n_near"))
+        held = near.select("row", "win").distinct().join(index.windows.select("win", F.explode("items").alias("item")), "win").select("row", "item").distinct()
+        near_items = held.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("near_items"))
+        tokens = tokens.join(table(count_near.join(near_items, "row"), "near_hits"), "row", "left")
+        proximity = [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items")]
     count = F.when(F.col("body") == "", F.lit(0)).otherwise(F.size(F.split("body", " ", -1)))
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return index.tokens.join(per_row, "row", "left").select(
+    return tokens.join(per_row, "row", "left").select(
         "doc_id",
         count.cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *proximity,
         *keep,
     )
