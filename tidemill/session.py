@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings: bytes of an Arrow batch on its way to Python, and the removal of a query's shuffle files.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, as ``--py-files`` would."""
+    """Sends this package to the executors once per application, as ``--py-files`` would.
+
+    Batches for Python workers are bounded by bytes as well, BATCH_BYTES unless the session sets
+    another bound, so that long texts don't fill a worker.
+    """
     context = spark.sparkContext
+    if BATCH not in _set_by_user(spark):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if getattr(context, "_tidemill_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
@@ -27,27 +39,70 @@ def ship(spark: SparkSession) -> None:
     context._tidemill_shipped = True
 
 
+def _set_by_user(spark: SparkSession) -> set[str]:
+    return {name for name, _ in spark.sparkContext.getConf().getAll()}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all machines share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a local folder stands in for it.
+    Only in local mode, where one machine is all, may that setting be absent: a local folder then
+    stands in for it. What is left there goes when the application ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         if not getattr(context, "_tidemill_scratch", None):
             context._tidemill_scratch = tempfile.mkdtemp(prefix="tidemill-scratch-")
         root = context._tidemill_scratch
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{context.applicationId}"
+    if getattr(context, "_tidemill_folder", None) != folder:
+        system, path = _hadoop(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        context._tidemill_folder = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
 
+def _hadoop(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
-def table(df: DataFrame, name: str) -> DataFrame:
+
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries run in here remove their shuffle files when they end, as nothing reads them again."""
+    before = spark.conf.get(CLEAN_UP, None)
+    if before is None:  # a version of Spark without this setting
+        yield
+        return
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
+def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` to shared scratch space and reads it back: lineage ends here.
 
     Lost executors then cost a read instead of a recomputation, and Spark knows the
-    written size when it chooses between a broadcast and a shuffle.
+    written size when it chooses between a broadcast and a shuffle. ``by`` names a column whose
+    values get folders of their own, which ``forget`` can remove one by one.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_end(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._tidemill_path = path
+    return found
+
+
+def forget(*tables: DataFrame, part: str = "") -> None:
+    """Removes what ``table`` wrote, or the folder ``part`` of it, once nothing reads it any more."""
+    for df in tables:
+        system, path = _hadoop(df.sparkSession, f"{vars(df)['_tidemill_path']}/{part}".rstrip("/"))
+        system.delete(path, True)
