@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.llm.tokens import vocabulary_path, word_ids
+from tidemill.llm.tokens import ids_kind, vocabulary_path, word_ids
 from tidemill.session import ship, table
 
 DIMENSIONS, GRID_BITS, HASHED = 4, 8, 256
@@ -108,17 +108,19 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = int(ends[-1]) if len(n) else before
 
 
-def _cut(path: str, length: int):
+def _cut(kind: str, length: int):
+    """``kind``: the type of the ids as they were packed; the tokenizer itself isn't needed here."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, unpack = word_ids(path), zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows: list[tuple] = []
                 part = batch.slice(at, 256)
                 for doc_id, place, packed in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                    ids = np.frombuffer(unpack.decompress(packed.as_py()), encoder.dtype).astype("<u4")
+                    ids = np.frombuffer(unpack.decompress(packed.as_py()), kind).astype("<u4")
                     start = 0
                     while start < len(ids):
                         offset = (place + start) % length
@@ -150,4 +152,4 @@ def pack_along_curve(docs: DataFrame, tokenizer: str | None = None, length: int
     before = sizes.select("part", (F.sum("here").over(W.orderBy("part")) - F.col("here")).alias("before"))
     places = table(placed.join(table(before, "before"), "part").select("row", (F.col("before") + F.col("within")).alias("place")), "places")
     joined = tokens.select("row", "doc_id", "ids").join(places, "row").select("doc_id", "place", "ids")
-    return joined.mapInArrow(_cut(path, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return joined.mapInArrow(_cut(ids_kind(path), length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -19,6 +19,16 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 
 
+KINDS = {"H": "<u2", "I": "<u4"}
+
+
+def ids_kind(path: str) -> str:
+    """The numpy type that holds each id of the tokenizer file at ``path``."""
+    from tokenizers import Tokenizer
+
+    return KINDS["H" if Tokenizer.from_file(path).get_vocab_size() <= 65536 else "I"]
+
+
 class WordIds(dict):
     """white-space-free piece of a text (bytes) -> its token ids (bytes, ``kind`` a piece).
 
@@ -27,7 +37,7 @@ class WordIds(dict):
     (``room`` of them at most).
     """
 
-    room = 900_000
+    room = 400_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,7 +46,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
-        self.dtype = "<u2" if self.kind == "H" else "<u4"
+        self.dtype = KINDS[self.kind]
         self.word = re.compile(f"([{LETTERS}]+)([.,]?)")
         # How the model spells each letter, asked of the tokenizer's own steps.
         normal, parts = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -67,7 +77,3 @@ def word_ids(path: str) -> WordIds:
     if path not in _held:
         _held[path] = WordIds(path)
     return _held[path]
-
-
-def ids_array(data: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(data, dtype)
