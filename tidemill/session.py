@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Settings: bytes of an Arrow batch on its way to Python, and the removal of a query's shuffle files.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Partitions of a written table follow its size, not the number of cores: few files where it is small.
+MANY_PARTS = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
 def ship(spark: SparkSession) -> None:
@@ -72,17 +74,19 @@ def _hadoop(spark: SparkSession, where: str):
 
 
 @contextlib.contextmanager
-def _shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """Queries run in here remove their shuffle files when they end, as nothing reads them again."""
-    before = spark.conf.get(CLEAN_UP, None)
-    if before is None:  # a version of Spark without this setting
-        yield
-        return
-    spark.conf.set(CLEAN_UP, "true")
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """Queries run in here remove their shuffle files when they end, as nothing reads them again,
+    and write few files. A setting that this version of Spark lacks is left alone."""
+    before = {name: spark.conf.get(name, None) for name in (CLEAN_UP, MANY_PARTS)}
     try:
+        for name, value in ((CLEAN_UP, "true"), (MANY_PARTS, "false")):
+            if before[name] is not None:
+                spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for name, value in before.items():
+            if value is not None:
+                spark.conf.set(name, value)
 
 
 def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -94,7 +98,7 @@ def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    with _shuffles_end(spark):
+    with _writing(spark):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._tidemill_path = path
