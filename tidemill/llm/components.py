@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.session import table
+from tidemill.session import forget, table
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One star operation on (u, v) with u > v: each node's neighbours move to the least of them."""
+    """One star operation on (u, v) with u > v: each node's neighbours move to the least of them.
+    Returns a table, and forgets ``links``, which was one."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
     # Written first: a join right above an aggregation is one whose hot keys Spark can't split.
     least = table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
@@ -23,11 +24,13 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return moved.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    found = table(moved.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    forget(least, links)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node of ``links`` (u long, v long): root is the least node it reaches.
+    """A table (node, root) for each node of ``links`` (u long, v long): root is the least node it reaches.
 
     Loops and repeated links change nothing; nodes without links to others don't appear.
     """
@@ -38,6 +41,8 @@ def components(links: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        now = table(_stars(_stars(now, True), False), "stars")
+        now = _stars(_stars(now, True), False)
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    found = table(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    forget(now)
+    return found

@@ -11,8 +11,10 @@ key cannot link. Parts that are empty say nothing; a class with m - k empty part
 its shingles anew with the next seed as well (its partner, equally empty, does the same).
 Common shingles are no trouble, since a key covers all that a part holds.
 
-Keys travel sorted and packed. Their buckets return only keys that two classes or more share,
-and classes that share keys, also through others, form a candidate group. A group's classes meet
+Keys travel sorted and packed, from one pass over the texts that also names the sets. Classes of
+one pack that share a key are linked to the least of them there, which alone is sent, so a key
+that a third of all classes share reaches its bucket once from each pack. Buckets link the classes
+that share a key likewise; linked classes, also through others, form a candidate group. A group's classes meet
 in tiles of one band and the next; a large tile is cut to chunks, and each pair of chunks is a
 task of its own. A task folds each set to a bitmap signature; the bits that two signatures share
 bound the overlap from above, and all pairs that may reach the threshold are intersected. Each
@@ -30,14 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemill.llm.common import WordHashes, mixed, packed_sorted, rolled, row_key, signed, unpacked_sorted
+from tidemill.llm.common import WordHashes, mixed, packed_sorted, rolled, row_key, unpacked_sorted
 from tidemill.llm.components import components
-from tidemill.session import ship, table
+from tidemill.session import forget, ship, table
 
 #: Text bytes whose keys are packed together, and keys that a bucket holds on average.
 PACK_BYTES = 8_000_000
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 500_000
 SEEDS = 8
 BITS_PER_SHINGLE = 8
 #: Shingles that a chunk of a tile holds on average.
@@ -177,76 +180,89 @@ def tile_links(sets: list[np.ndarray], low: np.ndarray, side: np.ndarray, across
     return found, links
 
 
-def _sets_udf(width: int, keep: list[str]):
-    hashes = WordHashes()
+def distinct_pairs(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    fresh = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)]
+    return u[fresh], v[fresh]
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, ids = [], []
-            for text in batch.column(1).cast(pa.large_binary()):
-                found = shingles(text.as_py() or b"", width, hashes)
-                n.append(len(found))
-                ids.append(set_id(found) if len(found) else None)
-            kept = batch.columns[2:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *kept], ["doc_id", "n", "cls", *keep])
 
-    return sets
+def meetings(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (key, class) entries: the distinct keys, sorted, the least class of each, and distinct
+    links (u, v) of the other classes of a key to its least."""
+    order = np.lexsort((cls, key))
+    key, cls = key[order], cls[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    least = np.repeat(cls[first], np.diff(np.append(first, len(key))))
+    others = cls != least
+    return key[first], cls[first], *distinct_pairs(cls[others], least[others])
 
 
-def _keys_udf(width: int, percent: int, bits: int):
-    hashes, bands = WordHashes(), Bands(percent)
+FOUND = "doc_id long, n long, cls long, bucket long, keys binary, classes binary, u long, v long, kind int"
+#: Kinds of rows of one pass over the texts: documents, packs of keys, links of classes that share a key.
+DOCUMENT, PACK, LINK = 0, 1, 2
+
 
-    def packed(keys: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
-        flat = np.concatenate(keys)
-        owner = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(k) for k in keys])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
+def _sets_udf(width: int, percent: int, bits: int, keep: pa.Schema):
+    """One pass over the texts: rows of FOUND and ``keep``."""
+    hashes, bands = WordHashes(), Bands(percent)
+    names = [part.split()[0] for part in FOUND.split(", ")]
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
+    schema = pa.schema([(n, kinds[part.split()[1]]) for n, part in zip(names, FOUND.split(", "))] + list(keep))
+
+    def rows(kind: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        columns["kind"] = pa.array(np.full(size, kind, np.int32))
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def packed(keys: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        owner = np.repeat(np.array(list(keys), np.int64), [len(k) for k in keys.values()])
+        flat, least, u, v = meetings(np.concatenate(list(keys.values())), owner)
         lead = (flat >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
         edges = np.append(np.flatnonzero(np.diff(lead, prepend=-1)), len(lead))
-        names = np.array(ids, np.int64)
-        rows: dict[str, list] = {"bucket": [], "keys": [], "classes": [], "owner": []}
-        for a, b in zip(edges[:-1], edges[1:]):
-            here, back = np.unique(owner[a:b], return_inverse=True)
-            rows["bucket"].append(int(lead[a]))
-            rows["keys"].append(packed_sorted(flat[a:b]))
-            rows["classes"].append(names[here].tobytes())
-            rows["owner"].append(back.astype(np.uint16 if len(here) < 65536 else np.uint32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64())] + [pa.array(rows[c], pa.binary()) for c in ("keys", "classes", "owner")], ["bucket", "keys", "classes", "owner"])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = list(zip(edges[:-1], edges[1:]))
+        yield rows(
+            PACK,
+            {
+                "bucket": pa.array(lead[edges[:-1]]),
+                "keys": pa.array([packed_sorted(flat[a:b]) for a, b in cuts], pa.binary()),
+                "classes": pa.array([least[a:b].tobytes() for a, b in cuts], pa.binary()),
+            },
+        )
+        if len(u):
+            yield rows(LINK, {"u": pa.array(u), "v": pa.array(v)})
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.large_binary()):
+            n, ids = [], []
+            for text in batch.column(1).cast(pa.large_binary()):
                 raw = text.as_py() or b""
                 found = shingles(raw, width, hashes)
-                if len(found) and (name := set_id(found)) not in held:
+                name = set_id(found) if len(found) else None
+                n.append(len(found))
+                ids.append(name)
+                if name is not None and name not in held:
                     held[name] = tile_keys(found, bands)
                     size += len(raw)
-                if size > PACK_BYTES:
-                    yield packed(list(held.values()), list(held))
-                    held, size = {}, 0
+                    if size > PACK_BYTES:
+                        yield from packed(held)
+                        held, size = {}, 0
+            kept = dict(zip(keep.names, batch.columns[2:]))
+            yield rows(DOCUMENT, {"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "cls": pa.array(ids, pa.int64())} | kept)
         if held:
-            yield packed(list(held.values()), list(held))
+            yield from packed(held)
 
-    return keys
+    return sets
 
 
 def _shared_keys(group: pa.Table) -> pa.Table:
-    """Of a bucket: (key, cls) for the keys that two classes or more have."""
-    keys, classes = [], []
-    for k, c, o in zip(group.column("keys"), group.column("classes"), group.column("owner")):
-        mine, names, raw = unpacked_sorted(k.as_py()), np.frombuffer(c.as_py(), np.int64), o.as_py()
-        keys.append(mine)
-        classes.append(names[np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(mine) else np.uint32)])
-    key, cls = np.concatenate(keys), np.concatenate(classes)
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    fresh = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
-    key, cls = key[fresh], cls[fresh]
-    same = key[1:] == key[:-1]
-    shared = np.append(same, False) | np.append(False, same)
-    return pa.table({"key": pa.array(signed(key[shared])), "cls": pa.array(cls[shared])})
+    """Of a bucket: links (u, v) of the classes of a key to its least."""
+    keys = [unpacked_sorted(k.as_py()) for k in group.column("keys")]
+    classes = [np.frombuffer(c.as_py(), np.int64) for c in group.column("classes")]
+    _, _, u, v = meetings(np.concatenate(keys), np.concatenate(classes))
+    return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
 
 def _describe_udf(width: int):
@@ -323,31 +339,38 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     """
     ship(docs.sparkSession)
     # A text is found again by its doc_id and two hashes: doc_ids may repeat or be null.
-    source = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("_id"), *keep)
+    source = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("_id"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
-    udf = _sets_udf(width, ["_id", *keep])
-    narrow = table(source.mapInArrow(udf, f"doc_id long, n long, cls long{kinds}").withColumn("_row", F.monotonically_increasing_id()), "sets")
+    held = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in source.schema.fields[2:]])
+    # Keys by the bytes of text: a word has about six, and a set has keys for a share of its shingles.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    expected = size / 6 * 3 * (100 - percent) / percent
+    bits = max(0, math.ceil(math.log2(max(1, expected / BUCKET_KEYS))))
+    found = table(source.mapInArrow(_sets_udf(width, percent, bits, held), FOUND + kinds).withColumn("_row", F.monotonically_increasing_id()), "sets", by="kind")
+    narrow = found.filter(F.col("kind") == DOCUMENT).select("doc_id", "n", "cls", "_row", "_id", *source.columns[3:])
     classes = narrow.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min("_id").alias("_id"), F.min(F.struct("doc_id", "_row")).alias("_first"))
     classes = table(classes, "classes")
 
-    total = narrow.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, 0.5 * total / BUCKET_KEYS))))
-    packs = docs.select("text").mapInArrow(_keys_udf(width, percent, bits), "bucket long, keys binary, classes binary, owner binary")
-    shared = table(packs.groupBy("bucket").applyInArrow(_shared_keys, "key long, cls long"), "shared")
-
-    least = shared.groupBy("key").agg(F.min("cls").alias("least"))
-    grouped = components(shared.join(least, "key").select(F.col("cls").alias("u"), F.col("least").alias("v")).distinct())
+    packs = found.filter(F.col("kind") == PACK).select("bucket", "keys", "classes")
+    far = packs.groupBy("bucket").applyInArrow(_shared_keys, "u long, v long")
+    shared = table(far.union(found.filter(F.col("kind") == LINK).select("u", "v")), "shared")
+    forget(found, part=f"kind={PACK}")
+    grouped = components(shared)
     member = table(grouped.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "_id"), "cls"), "members")
+    forget(shared, grouped)
     # One path at every size: the texts of candidate classes are brought together by a shuffle.
     texts = source.select("text", "_id").join(member.hint("merge"), "_id").groupBy("cls").agg(F.first("text").alias("text"), F.first("grp").alias("grp"))
     sets = table(texts.select("cls", "text", "grp").mapInArrow(_describe_udf(width), "cls long, grp long, n long, arr binary"), "described")
     links = _links(sets, percent)
+    forget(sets, member)
 
-    root = components(links.filter("v is not null").select("u", "v")).withColumnRenamed("node", "cls")
+    roots = components(links.filter("v is not null").select("u", "v"))
+    root = roots.withColumnRenamed("node", "cls")
     counts = links.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("n_links"))
     named = classes.drop("_id").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     low = named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("_first").alias("_first"))
     named = table(named.drop("_first").join(low, "root").join(counts, "cls", "left").select("cls", "class_id", "component_id", "n_links", F.col("_first._row").alias("_kept")), "named")
+    forget(links, roots, classes)
     return narrow.join(named, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -355,5 +378,5 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (F.col("cls").isNull() | (F.col("_kept") == F.col("_row"))).alias("kept"),
-        *keep,
+        *(F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)),
     )
