@@ -218,6 +218,16 @@ def test_warc_round_trip(spark, none):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_exported_archives_are_their_contents(spark, tmp_path):
+    clash = spark.createDataFrame([(i, "u", f"<p>{i}" * 50, "x", 7, "y") for i in range(20)], "page_id long, url string, html string, sha string, payload int, first string")
+    archives = warc.write_archives(clash)
+    for _ in range(2):  # a repeated task replaces its file by the same
+        listed = {r.archive: r.bytes for r in warc.export_archives(archives, str(tmp_path / "out")).collect()}
+    contents = {r.archive: bytes(r.content) for r in archives.select("archive", "content").collect()}
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()} == contents and listed == {k: len(v) for k, v in contents.items()}
+    assert sorted(r[0] for c in contents.values() for r in warc.records(c)) == list(range(20))
+
+
 def test_html_text(spark):
     pages = spark.read.parquet(f"{oracle.SF}/pages.parquet").collect()
     for row in pages:
@@ -251,6 +261,119 @@ def test_html_text_without_article_element():
     assert html_text.main_text("<html><body><div class=cookies>We use cookies, ok? Accept all.</div></body></html>") == ""
 
 
+def test_tag_paths_decide_the_text(monkeypatch):
+    """On a page without a name that says anything, and on one with an article, the paths are the text."""
+    para = [f"Paragraph {i} of it has clauses, and more clauses, and then ends here." for i in range(6)]
+    blocks = [("div.q ul li", "One"), ("div.q ul li", "Two"), ("div.w p", para[0]), ("div.w p", para[1]), ("div.w ul li", "short item"), ("div.w p", para[2]), ("div.w p", para[3]), ("div.z ul li", "ok"), ("div.z ul li", "go"), ("div.z ul li", "on")]
+    page, last = "<html><body>", ""
+    for path, text in blocks:
+        top = path.split()[0]
+        if top != last:
+            page += ("</div>" if last else "") + f"<div class={top[4:]}>"
+            last = top
+        page += "".join(f"<{t}>" for t in path.split()[1:]) + text + "".join(f"</{t}>" for t in reversed(path.split()[1:]))
+    page += "</div></body></html>"
+    assert html_text.main_text(page) == "\n".join([para[0], para[1], "short item", para[2], para[3]])
+    for text in (page, f"<html><body><nav><ul><li>Menu one</ul></nav><article><h1>Head</h1><p>{para[0]}<p>{para[1]}</article><footer>by me</footer></body></html>"):
+        reader = html_text.Reader(text)
+        every = {u.path for u in reader.units}
+        lines = [" ".join("".join(u.parts).split()) for u in reader.units]
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "title_above", lambda *_: set())
+            for some in (every, *({p} for p in every)):
+                m.setattr(html_text, "content_paths", lambda paths, units, some=some: some)
+                assert html_text.main_text(text) == "\n".join(x for x, u in zip(lines, reader.units) if u.path in some)
+        assert html_text.content_paths(reader.paths, reader.units) != every
+
+
+def test_ratios_of_paths_by_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        kinds = [f"k{i}" for i in range(4)]
+        picked = rng.choice(kinds, 12)
+        texts = [" ".join(["word"] * int(rng.integers(1, 20))) + rng.choice(["", ".", ", so."]) for _ in picked]
+        reader = html_text.Reader("".join(f"<div class={k}>{t}</div>" for k, t in zip(picked, texts)))
+        want = {}
+        length = {k: np.mean([len(t) for a, t in zip(picked, texts) if a == k]) for k in picked}
+        marks = {k: np.mean([len(re.findall("[.,]", t)) for a, t in zip(picked, texts) if a == k]) for k in picked}
+        smooth = lambda of: np.convolve(np.pad([of[k] for k in picked], 1, mode="edge"), [0.25, 0.5, 0.25], "valid")
+        fused = smooth(length) * (1 + smooth(marks))
+        for k in set(picked):
+            want[k] = np.mean(fused[picked == k])
+        score, limit = html_text.path_scores(reader.units, [True] * len(reader.paths.parent))
+        got = {k: score[reader.units[list(picked).index(k)].path] for k in set(picked)}
+        assert got == pytest.approx(want) and limit == pytest.approx(max(0.4 * fused.std(), 0.1 * fused.mean()))
+
+
+def test_html_of_long_and_deep_pages_and_repeated_rows(spark):
+    import time
+
+    began = time.time()
+    for page in ("<div>a b, c" * 8000, "<div>a b, c" * 100_000, "<a b='" * 100_000, "<a " * 500_000, "<span>" * 8000 + "</div>" * 8000, "<p>" + "<span>" * 8000 + "<div>" * 8000, "<!--" * 100_000):
+        html_text.main_text(page)
+    assert time.time() - began < 30
+    long = "<article>" + "".join(f"<p>Sentence {i}, and so on.</p>" for i in range(100_000)) + "</article>"
+    assert html_text.main_text(long).count("\n") == 99_999
+    rows = [(1, "u", "<p>Text, here.</p>", 5, "x")] * 2 + [(None, None, None, 1, "y"), (2, "v", "<article><p>x<math>a+b</math> y, z.</p><div class=print>Printed, too.</div></article>", 1, "z")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string")).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "Text, here.", 11), (1, "Text, here.", 11), (2, "xa+b y, z.\nPrinted, too.", 24)]
+
+
+def test_shards_by_brute_force(spark):
+    import struct
+
+    import xxhash
+
+    def spark_hash(*parts):
+        h = 42
+        for p in parts:
+            data = p.encode() if isinstance(p, str) else struct.pack("<i", p) if isinstance(p, bool) else p
+            h = xxhash.xxh64_intdigest(data, seed=h)
+        return h
+
+    seed, shards = 17, 8
+    docs = spark.read.parquet(f"{oracle.SF}/documents.parquet")
+    rows = docs.select("doc_id", "text", "source").collect()
+    of: dict = {}
+    for r in rows:
+        crc = zlib.crc32((r.text or "").encode())
+        src = spark_hash(r.source is None, r.source or "", struct.pack("<i", seed))
+        of.setdefault(src, []).append((spark_hash(struct.pack("<q", r.doc_id), struct.pack("<q", crc), struct.pack("<i", seed)) >> 2, r.doc_id))
+    line = []
+    for src, members in of.items():
+        offset = ((spark_hash(struct.pack("<Q", src), struct.pack("<i", seed + 1)) >> 11) + 1) / 2.0**53
+        line += [((k + 1 - offset) / len(members), src - (src >> 63 << 64), d) for k, (_, d) in enumerate(sorted(members))]
+    starts = [-(-k * len(line) // shards) for k in range(shards + 1)]
+    want = {d: next((k, at - starts[k]) for k in range(shards) if starts[k] <= at < starts[k + 1]) for at, (_, _, d) in enumerate(sorted(line))}
+    assert {r.doc_id: (r.shard, r.slot) for r in interleaved_shards(docs).collect()} == want
+
+
+def test_quality_scores_by_brute_force(spark):
+    from tidemill.llm import quality
+
+    docs = spark.read.parquet(f"{oracle.SF}/documents.parquet")
+    labels = spark.read.parquet(f"{oracle.SF}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    assert len(model.labels) == sum(not held_out(r.doc_id) for r in labels.filter("quality in (0, 1)").collect())
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    for r in docs.select("doc_id", "text").collect()[:60]:
+        words = (r.text or "").encode().split()
+        counts = np.zeros((1, quality.WIDTH), np.int64)
+        shapes = [zlib.crc32(quality.shape(w)) % quality.SHAPES for w in words]
+        for i, w in enumerate(words):
+            counts[0, shapes[i]] += 1
+            counts[0, quality.SHAPES + quality.PAIRS + zlib.crc32(w.lower().strip(b".,;:!?")) % quality.WORDS] += 1
+            if i:
+                value = lambda x, s: (s, zlib.crc32(x.lower().strip(b".,;:!?")) % quality.WORDS)
+                same = value(w, shapes[i]) == value(words[i - 1], shapes[i - 1])
+                counts[0, quality.SHAPES + (0 if same else (shapes[i] * 31 + shapes[i - 1] * 7 + 1) % (quality.PAIRS - 1) + 1)] += 1
+        v = (model.weighted(counts) @ model.basis)[0]
+        near = sorted(((float(v @ x) / max(1e-9, float(np.linalg.norm(v))), -k) for k, x in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(c, 1e-6) ** 8 for c, _ in near]
+        want = sum(w * model.labels[-k] for w, (_, k) in zip(weights, near)) / sum(weights)
+        assert got[r.doc_id] == pytest.approx(want if words else model.labels.mean(), abs=2e-3)
+
+
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
@@ -297,6 +420,44 @@ def test_language_of_held_out_documents(spark, edge, none):
     assert {r.lang_pred for r in language_id.predict_language(edge, None).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark):
+    """Each position's probability by the plain recurrence, window by window, and their mean."""
+    tagger = language_id.ByteTagger(["a", "b", "c"])
+    width = language_id.WINDOW
+    rows = [(1, "short"), (2, "x" * width), (3, "Ein Satz mit Umlauten: äöü. " * 9), (4, "½²"), (5, None), (6, "7 + 8"), (7, "Ⅷ"), (8, "ab " * 300), (1, "short")]
+    got = [(r.doc_id, r.lang_pred, r.score) for r in language_id.predict_language(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect()]
+    want = []
+    for doc_id, text in rows:
+        if not any(c.isalpha() and c not in "½²Ⅷ" for c in text or ""):
+            want.append((doc_id, "und", 0.0))
+            continue
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), width):
+            if len(raw) < width:
+                window, mine = ((raw + b" ") * width)[:width], range(len(raw))
+            else:
+                first = min(at, len(raw) - width)
+                window, mine = raw[first : first + width], range(at - first, width)
+            steps = np.frombuffer(window, np.uint8)[:, None]
+            both = np.concatenate((tagger.ahead.states(steps, []), tagger.back.states(steps[::-1], [])[::-1]), axis=2)
+            total += tagger._softmax(both @ tagger.out + tagger.bias)[list(mine), 0].sum(axis=0)
+        want.append((doc_id, "abc"[int(total.argmax())], total.max() / len(raw)))
+    order = lambda x: (x[0], x[1])
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order)):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-4)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(1, "same text", "en")] * 3000 + [(i, f"text {i}", "en") for i in range(2, 1500)] + [(i, f"Satz {i}", "de") for i in range(1500, 1530)] + [(1531, "y" * 20_000, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {r.lang: r["count"] for r in language_id.training_sample(docs).groupBy("lang").count().collect()}
+    assert counts["en"] == language_id.SAMPLE_DOCS and counts["de"] == sum(not held_out(i) for i in [*range(1500, 1530), 1531])
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 100)
+    assert all(sum(len(r.text) for r in language_id.training_sample(docs).filter(f"lang = '{lang}'").collect()) <= 100 for lang in ("en", "de"))
+    whole = "".join(chr(97 + i % 26) for i in range(1000)).encode()
+    assert set(language_id.crops(whole).ravel()[np.arange(-48, 0)]) and b"".join(x.tobytes() for x in language_id.crops(whole))[:960] == whole[:960] and language_id.crops(whole)[-1].tobytes() == whole[-48:]
+
+
 def test_gradients_of_the_recurrent_network():
     tagger = language_id.ByteTagger(["a", "b", "c"], hidden=3)
     for d in (tagger.ahead, tagger.back):
