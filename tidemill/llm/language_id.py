@@ -1,13 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on crops of a bounded sample
-of labelled texts, and labels every byte position. A document is read whole, in windows of
+The network is trained in numpy by backpropagation through time on all windows of the whole texts
+of a bounded sample of labelled rows, and labels every byte position. A document is read whole, in windows of
 WINDOW bytes; its probabilities are the mean over all its positions.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +19,12 @@ from tidemill.llm.common import held_out
 from tidemill.session import ship
 
 HIDDEN, WINDOW, LANES = 12, 128, 2048
-#: Bounds of the training sample: labelled documents a language, crops of each, bytes a crop.
-SAMPLE_DOCS, CROPS, CROP = 400, 8, 48
+#: Bounds of the training sample: labelled rows a language, and bytes of their texts together. Rows
+#: are taken whole or not at all; texts are learned from in windows of CROP bytes.
+SAMPLE_DOCS, SAMPLE_BYTES, CROP = 400, 1_500_000, 48
+#: Least number of training steps, and windows a step.
 STEPS, BATCH = 300, 256
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 
 
 class GatedDirection:
@@ -136,13 +137,18 @@ class ByteTagger:
         return loss, [*ga, *gb, d_out, d.sum(axis=(0, 1))]
 
     def train(self, crops: np.ndarray, labels: np.ndarray, steps: int = STEPS, rate: float = 0.02, seed: int = 6) -> None:
-        """Adam on balanced random batches of crops (rows of bytes)."""
+        """Adam on random batches of crops (rows of bytes) with as many of each language: ``steps``
+        of them, or what it takes to see each crop once. No crop is seen again before all of its
+        language are."""
         rng = np.random.default_rng(seed)
         of = [np.flatnonzero(labels == k) for k in range(len(self.langs))]
+        share = max(1, BATCH // len(of))
+        steps = max(steps, -(-max(map(len, of)) // share))
+        turns = [np.concatenate([rng.permutation(rows) for _ in range(-(-steps * share // len(rows)))]) for rows in of]
         first = [np.zeros_like(p) for p in self.parameters()]
         second = [np.zeros_like(p) for p in self.parameters()]
         for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(rows, max(1, BATCH // len(of))) for rows in of])
+            pick = np.concatenate([turn[(step - 1) * share : step * share] for turn in turns])
             _, grads = self.loss_gradients(np.ascontiguousarray(crops[pick].T), labels[pick])
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             lower = rate * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -195,40 +201,52 @@ class ByteTagger:
         return sums / np.maximum(1, [len(d) for d in docs])[:, None]
 
 
-def _crops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, crops): CROPS pieces of CROP bytes, spread over the whole text; short texts repeat."""
-    for batch in batches:
-        langs, crops = [], []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-            raw = text.as_py()
-            if not raw:
-                continue
-            raw = raw if len(raw) >= CROP else (raw + b" ") * (CROP // len(raw) + 1)
-            starts = np.linspace(0, len(raw) - CROP, CROPS).astype(int)
-            langs.append(lang)
-            crops.append(b"".join(raw[s : s + CROP] for s in starts))
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(crops, pa.binary())], ["lang", "crops"])
+def crops(text: bytes) -> np.ndarray:
+    """All windows of CROP bytes of a text, side by side; the last ends with the text, and a text
+    that is shorter repeats."""
+    if len(text) < CROP:
+        text = ((text + b" ") * (CROP // len(text) + 1))[:CROP]
+    starts = np.minimum(np.arange(0, len(text), CROP), len(text) - CROP)
+    return np.frombuffer(text, np.uint8)[starts[:, None] + np.arange(CROP)]
+
+
+def training_sample(docs: DataFrame) -> DataFrame:
+    """(lang, text) of at most SAMPLE_DOCS rows and SAMPLE_BYTES a language, texts as bytes.
+
+    Rows go by a hash of doc_id and text; rows that repeat both count once. A hash below a limit
+    chooses first, twice as many rows as are needed, from the number that each language has, so
+    that no task orders a language's rows: what is ordered is as bounded as the sample.
+    """
+    usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    usable = usable.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.encode("text", "utf-8").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row for each language
+    if not sizes:
+        return usable.select("lang", "text").limit(0)
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(min(1.0, 2 * SAMPLE_DOCS / r.n) * 2**62))])
+    some = usable.filter(F.shiftrightunsigned("h", 2) <= limits[F.col("lang")])
+    once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    order = W.partitionBy("lang").orderBy("h")
+    held = F.sum(F.octet_length("text")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    ranked = once.withColumn("at", F.row_number().over(order)).withColumn("held", held)
+    return ranked.filter((F.col("at") <= SAMPLE_DOCS) & (F.col("held") <= SAMPLE_BYTES)).select("lang", "text")
 
 
 def train_tagger(docs: DataFrame) -> ByteTagger | None:
-    """Learns from text and lang of ``docs`` (doc_id, text, lang), at most SAMPLE_DOCS of each language.
+    """Learns from text and lang of ``docs`` (doc_id, text, lang), of the rows of ``training_sample``.
 
     Held-out documents (crc32(doc_id as text) mod 5 is 0), null langs and texts without letters
-    teach nothing. None if nothing is left to learn from.
+    teach nothing, and neither do texts of more than SAMPLE_BYTES. None if nothing is left to
+    learn from.
     """
     ship(docs.sparkSession)
-    usable = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
-    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(_crops, "lang string, crops binary").collect()
+    rows = sorted((r.lang, bytes(r.text)) for r in training_sample(docs).collect())
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.lang, r.crops))
-    langs = sorted({r.lang for r in rows})
-    crops = np.frombuffer(b"".join(r.crops for r in rows), np.uint8).reshape(-1, CROP)
-    labels = np.repeat([langs.index(r.lang) for r in rows], CROPS)
+    langs = sorted({lang for lang, _ in rows})
+    windows = [crops(text) for _, text in rows]
+    labels = np.repeat([langs.index(lang) for lang, _ in rows], [len(w) for w in windows])
     tagger = ByteTagger(langs)
-    tagger.train(crops, labels)
+    tagger.train(np.concatenate(windows), labels)
     return tagger
 
 
@@ -238,7 +256,7 @@ def _predict(tagger: ByteTagger | None):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 raw = [t.as_py() or "" for t in part.column(1)]
-                lettered = [bool(LETTER.search(t)) for t in raw]
+                lettered = [bool(x) for x in part.column(2).to_pylist()]
                 if tagger is None:
                     lang, score = ["und"] * len(raw), [0.0] * len(raw)
                 else:
@@ -253,10 +271,11 @@ def _predict(tagger: ByteTagger | None):
 def predict_language(docs: DataFrame, tagger: ByteTagger | None) -> DataFrame:
     """The language of each whole text of ``docs`` (doc_id, text).
 
-    Returns doc_id, held_out, lang_pred, score (mean position probability of that language). A
-    text that is null or has no letter is ``und`` with score 0, as are all without a tagger.
+    Returns doc_id, held_out, lang_pred, score (mean position probability of that language; of
+    equal ones the first by name). A text that is null or has no letter (Unicode category L) is
+    ``und`` with score 0, as are all without a tagger. Very long texts are read whole, LANES windows at a time.
     Repeated rows are labelled one by one. No rows give no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    found = docs.select("doc_id", "text").mapInArrow(_predict(tagger), "doc_id long, lang_pred string, score double")
+    found = docs.select("doc_id", "text", F.col("text").rlike(LETTER).alias("lettered")).mapInArrow(_predict(tagger), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
