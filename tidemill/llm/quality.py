@@ -88,6 +88,10 @@ class NeighbourVote:
         near = self._unit(self.weighted(counts) @ self.basis) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        # Of vectors as near as the last that votes, those first in the sample do.
+        last = np.take_along_axis(near, top, axis=1).min(axis=1, keepdims=True)
+        for i in np.flatnonzero((near >= last).sum(axis=1) > k):
+            top[i] = np.argsort(-near[i], kind="stable")[:k]
         # In float64: the least weight, 1e-48, is zero in float32.
         weights = np.maximum(np.take_along_axis(near, top, axis=1).astype(np.float64), 1e-6) ** 8
         voted = np.clip((weights * self.labels[top]).sum(axis=1) / weights.sum(axis=1), 0, 1)
