@@ -39,12 +39,10 @@ def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
     not all kept, one or none."""
     share = judged.groupBy(KEY).agg(F.count_if("kept").alias("some"), F.count(F.lit(1)).alias("all"))
     share = table(share.filter("some < all"), "not_all_kept")
-    left = _keyed(docs).join(share.filter("some = 0").select(KEY), KEY, "left_anti")
-    # Rows that repeat a kept one: only where there are some is another shuffle due.
-    again = share.filter("some > 0").select(KEY)
-    if not again.isEmpty():
-        left = left.join(again, KEY, "left_anti").union(left.join(again, KEY, "left_semi").dropDuplicates([KEY]))
-    return left.select(docs.columns)
+    left = _keyed(docs).join(share.select(KEY), KEY, "left_anti")
+    # Rows that repeat a kept one; where there are none, adaptive execution drops this branch.
+    again = _keyed(docs).join(share.filter("some > 0").select(KEY), KEY, "left_semi").dropDuplicates([KEY])
+    return left.union(again).select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
