@@ -265,6 +265,9 @@ def _shared_keys(group: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
 
+SEATS = "array<struct<tile:int,chunks:int,low:boolean>>"
+
+
 def _describe_udf(width: int):
     hashes = WordHashes()
 
@@ -272,11 +275,8 @@ def _describe_udf(width: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [shingles(t.as_py() or b"", width, hashes) for t in part.column(1).cast(pa.large_binary())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array([packed_sorted(x) for x in sets], pa.binary())],
-                    ["cls", "grp", "n", "arr"],
-                )
+                sets = [packed_sorted(shingles(t.as_py() or b"", width, hashes)) for t in part.column(1).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(sets, pa.binary())], ["cls", "grp", "seats", "arr"])
 
     return describe
 
@@ -307,19 +307,26 @@ def _band_udf(percent: int):
     return F.arrow_udf(band, "int")
 
 
+def _seated(member: DataFrame, percent: int) -> DataFrame:
+    """(cls, grp, _id, seats) of the classes (cls, grp, _id, n) that meet another in a tile of their
+    group: a tile of two or more, of which one is of the tile's own band. Others need no text."""
+    own = member.withColumn("band", _band_udf(percent)("n"))
+    tiles = F.explode(F.array_distinct(F.array(F.col("band"), F.greatest(F.lit(0), F.col("band") - 1)))).alias("tile")
+    each = table(own.select("cls", "grp", "_id", "n", "band", tiles), "seats")
+    sizes = each.groupBy("grp", "tile").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members"), F.count_if(F.col("band") == F.col("tile")).alias("lows"))
+    sizes = sizes.filter("members > 1 and lows > 0").select("grp", "tile", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int").alias("chunks"))
+    seat = F.struct("tile", "chunks", (F.col("band") == F.col("tile")).alias("low"))
+    found = table(each.join(sizes, ["grp", "tile"]).groupBy("cls", "grp", "_id").agg(F.collect_list(seat).cast(SEATS).alias("seats")), "members")
+    forget(each)
+    return found
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of classes (cls, grp, n, arr) that span those of each candidate group; where v
+    """Links (u, v) of classes (cls, grp, seats, arr) that span those of each candidate group; where v
     is null, n links of class u."""
-    own = sets.withColumn("band", _band_udf(percent)("n"))
-    tiles = F.explode(F.array_distinct(F.array(F.col("band"), F.greatest(F.lit(0), F.col("band") - 1)))).alias("tile")
-    seated = own.select("cls", "grp", "n", "band", "arr", tiles)
-    sizes = seated.groupBy("grp", "tile").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members"))
-    sizes = sizes.filter("members > 1").select("grp", "tile", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int").alias("chunks"))
-    placed = seated.join(sizes, ["grp", "tile"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
+    placed = sets.select("cls", "grp", F.inline("seats"), "arr").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = pairs.select(
-        "grp", "tile", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "cls", (F.col("band") == F.col("tile")).alias("low"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "arr"
-    )
+    rows = pairs.select("grp", "tile", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "cls", "low", (F.col("chunk") > F.col("other")).cast("int").alias("side"), "arr")
     return table(rows.groupBy("grp", "tile", "a", "b").applyInArrow(_tile(percent), "u long, v long, n long"), "links")
 
 
@@ -348,7 +355,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     bits = max(0, math.ceil(math.log2(max(1, expected / BUCKET_KEYS))))
     found = table(source.mapInArrow(_sets_udf(width, percent, bits, held), FOUND + kinds).withColumn("_row", F.monotonically_increasing_id()), "sets", by="kind")
     narrow = found.filter(F.col("kind") == DOCUMENT).select("doc_id", "n", "cls", "_row", "_id", *source.columns[3:])
-    classes = narrow.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min("_id").alias("_id"), F.min(F.struct("doc_id", "_row")).alias("_first"))
+    classes = narrow.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min("_id").alias("_id"), F.max("n").alias("n"), F.min(F.struct("doc_id", "_row")).alias("_first"))
     classes = table(classes, "classes")
 
     packs = found.filter(F.col("kind") == PACK).select("bucket", "keys", "classes")
@@ -356,18 +363,17 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     shared = table(far.union(found.filter(F.col("kind") == LINK).select("u", "v")), "shared")
     forget(found, part=f"kind={PACK}")
     grouped = components(shared)
-    member = table(grouped.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "_id"), "cls"), "members")
+    member = _seated(grouped.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "_id", "n"), "cls"), percent)
     forget(shared, grouped)
     # One path at every size: the texts of candidate classes are brought together by a shuffle.
-    texts = source.select("text", "_id").join(member.hint("merge"), "_id").groupBy("cls").agg(F.first("text").alias("text"), F.first("grp").alias("grp"))
-    sets = table(texts.select("cls", "text", "grp").mapInArrow(_describe_udf(width), "cls long, grp long, n long, arr binary"), "described")
-    links = _links(sets, percent)
-    forget(sets, member)
+    texts = source.select("text", "_id").join(member.hint("merge"), "_id").groupBy("cls").agg(F.first("text").alias("text"), F.first("grp").alias("grp"), F.first("seats").alias("seats"))
+    links = _links(texts.select("cls", "text", "grp", "seats").mapInArrow(_describe_udf(width), f"cls long, grp long, seats {SEATS}, arr binary"), percent)
+    forget(member)
 
     roots = components(links.filter("v is not null").select("u", "v"))
     root = roots.withColumnRenamed("node", "cls")
     counts = links.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("n_links"))
-    named = classes.drop("_id").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = classes.drop("_id", "n").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     low = named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("_first").alias("_first"))
     named = table(named.drop("_first").join(low, "root").join(counts, "cls", "left").select("cls", "class_id", "component_id", "n_links", F.col("_first._row").alias("_kept")), "named")
     forget(links, roots, classes)
