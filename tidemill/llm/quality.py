@@ -124,7 +124,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> NeighbourVote | None:
     return NeighbourVote(counts, np.array([r.quality for r in rows]))
 
 
-def _score(model: NeighbourVote | None):
+def _score(model: NeighbourVote | None, kept: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = WordFeatures()
         for batch in batches:
@@ -134,7 +134,8 @@ def _score(model: NeighbourVote | None):
                     got = np.full(part.num_rows, 0.5)
                 else:
                     got = model.scores(np.array([features.counts(t.as_py() or b"") for t in part.column(1).cast(pa.large_binary())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.astype(np.float64)), *part.columns[2:]], ["doc_id", "score", *part.schema.names[2:]])
+                columns = [part.column(part.schema.get_field_index(name)) for name in kept]
+                yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.float64)), *columns], ["score", *kept])
 
     return score
 
@@ -143,12 +144,14 @@ def score_quality(docs: DataFrame, model: NeighbourVote | None, threshold: float
     """Scores each whole text of ``docs`` (doc_id, text).
 
     Returns doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on) and the columns of
-    ``keep``. Texts that are null, empty or white space have no features and are scored by the sample's share of label
-    1; without a model all scores are 0.5. Repeated rows are scored one by one. No rows give no rows; other
-    columns are ignored.
+    ``keep``, which may name text. Texts that are null, empty or white space have no features and
+    are scored by the sample's share of label 1; without a model all scores are 0.5. Of equally near
+    neighbours the first in the sample, which is sorted by doc_id, vote. Repeated rows are scored
+    one by one. No rows give no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", "text", *keep)
-    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    found = rows.mapInArrow(_score(model), f"doc_id long, score double{kinds}")
+    keep = tuple(c for c in keep if c != "doc_id")
+    rows = docs.select(*dict.fromkeys(["doc_id", "text", *keep]))
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+    found = rows.mapInArrow(_score(model, ["doc_id", *keep]), f"score double{kinds}")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep)
