@@ -46,9 +46,14 @@ def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; all others stay as they are."""
+    """Documents that the classifier rejects go; all others stay as they are.
+
+    A row goes through the classifier as a whole, so that nothing has to be joined to it again.
+    """
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, score_quality(_keyed(docs), model, keep=(KEY,)).filter("predicted = 0"))
+    others = {c: f"_column{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    judged = score_quality(docs.withColumnsRenamed(others), model, keep=("text", *others.values()))
+    return judged.filter("predicted <> 0").select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
