@@ -138,7 +138,7 @@ def test_substring_dedup_over_many_chunks(spark, edge, none, monkeypatch):
 
 
 def test_ngram_join_over_many_chunks(spark, edge, none, monkeypatch):
-    for name, value in (("PACK_BYTES", 20_000), ("BUCKET_KEYS", 3_000), ("CHUNK_SHINGLES", 500)):
+    for name, value in (("PACK_BYTES", 20_000), ("BUCKET_KEYS", 3_000), ("BLOCK_SHINGLES", 500), ("CHUNK_BLOCKS", 2)):
         monkeypatch.setattr(ngram_join, name, value)
     oracle.same(queries.op4_ngram_join(spark, oracle.SF), oracle.connect(), queries.OP4)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(edge).collect()}
@@ -146,9 +146,10 @@ def test_ngram_join_over_many_chunks(spark, edge, none, monkeypatch):
     assert ngram_join.ngram_join(none).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [100, 1_000_000])
-def test_ngram_join_counts_every_link(spark, monkeypatch, chunk):
-    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", chunk)
+@pytest.mark.parametrize("block,blocks", [(100, 1), (60, 3), (1_000_000, 8)])
+def test_ngram_join_counts_every_link(spark, monkeypatch, block, blocks):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(ngram_join, "CHUNK_BLOCKS", blocks)
     near = [(i, " ".join(f"w{k}" for k in range(60)) + f" tail{i}") for i in range(8)]
     rows = [*near, (20, near[3][1]), (21, "something else that stands alone, with no link"), (22, None)]
     got = {r.doc_id: (r.component_id, r.n_links, r.kept) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -16,7 +16,7 @@ one pack that share a key are linked to the least of them there, which alone is
 that a third of all classes share reaches its bucket once from each pack. Buckets link the classes
 that share a key likewise; linked classes, also through others, form a candidate group. A group's classes meet
 in tiles of one band and the next; a large tile is cut to chunks, and each pair of chunks is a
-task of its own. A task folds each set to a bitmap signature; the bits that two signatures share
+task of its own, which compares them block by block. A task folds each set to a bitmap signature; the bits that two signatures share
 bound the overlap from above, and all pairs that may reach the threshold are intersected. Each
 pair meets in one task; a task returns how many links each class has in it, and of the links a
 spanning set, so its rows grow with the classes and not with the pairs.
@@ -43,8 +43,9 @@ PACK_BYTES = 8_000_000
 BUCKET_KEYS = 500_000
 SEEDS = 8
 BITS_PER_SHINGLE = 8
-#: Shingles that a chunk of a tile holds on average.
-CHUNK_SHINGLES = 1_000_000
+#: Shingles that a block of a tile holds, which is compared at once, and blocks of a chunk; chunks
+#: are what is shuffled, to each chunk of their tile, and stay packed until their block's turn.
+BLOCK_SHINGLES, CHUNK_BLOCKS = 1_000_000, 8
 
 
 def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
@@ -161,7 +162,7 @@ def tile_links(sets: list[np.ndarray], low: np.ndarray, side: np.ndarray, across
             continue
         mine = flat[starts[i] : starts[i] + size[i]]
         marked[mine] = True
-        for part in np.array_split(near, 1 + int(size[near].sum()) // CHUNK_SHINGLES):
+        for part in np.array_split(near, 1 + int(size[near].sum()) // BLOCK_SHINGLES):
             if not len(part):
                 continue
             first = np.cumsum(size[part]) - size[part]
@@ -281,15 +282,39 @@ def _describe_udf(width: int):
     return describe
 
 
+def _blocks(rows: np.ndarray, arrays: pa.ChunkedArray) -> list[np.ndarray]:
+    """``rows`` cut to blocks of about BLOCK_SHINGLES shingles, of seven packed bytes each."""
+    sizes = np.array([len(arrays[int(i)].as_buffer()) for i in rows], np.int64)
+    return [b for b in np.split(rows, np.flatnonzero(np.diff(np.cumsum(sizes) // (7 * BLOCK_SHINGLES))) + 1) if len(b)]
+
+
 def _tile(percent: int):
     def tile(group: pa.Table) -> pa.Table:
         cls = group.column("cls").to_numpy()
         low = group.column("low").to_numpy(zero_copy_only=False)
+        arrays = group.column("arr")
         if not low.any() or len(cls) < 2:
             return pa.table({name: pa.array([], pa.int64()) for name in ("u", "v", "n")})
-        sets = [unpacked_sorted(x.as_py()) for x in group.column("arr")]
-        across = group.column("a")[0].as_py() != group.column("b")[0].as_py()
-        pairs, links = tile_links(sets, low, group.column("side").to_numpy(), across, percent)
+        if group.column("a")[0].as_py() == group.column("b")[0].as_py():
+            blocks = _blocks(np.arange(len(cls)), arrays)
+            meets = [(blocks[i], blocks[j]) for i in range(len(blocks)) for j in range(i, len(blocks))]
+        else:
+            side = group.column("side").to_numpy()
+            ours, theirs = (_blocks(np.flatnonzero(side == k), arrays) for k in (0, 1))
+            meets = [(x, y) for x in ours for y in theirs]
+        unions, pairs, links = Unions(len(cls)), [], np.zeros(len(cls), np.int64)
+        for x, y in meets:
+            rows = x if x is y else np.concatenate((x, y))
+            if len(rows) < 2 or not low[rows].any():
+                continue
+            side = np.repeat([0, 1], [len(x), len(rows) - len(x)])
+            found, degree = tile_links([unpacked_sorted(arrays[int(i)].as_py()) for i in rows], low[rows], side, x is not y, percent)
+            links[rows] += degree
+            for i, j in found:
+                i, j = int(rows[i]), int(rows[j])
+                if unions.root(i) != unions.root(j):
+                    unions.join(i, j)
+                    pairs.append((i, j))
         some = np.flatnonzero(links)
         u = [cls[i] for i, _ in pairs] + cls[some].tolist()
         v = [cls[j] for _, j in pairs] + [None] * len(some)
@@ -314,7 +339,7 @@ def _seated(member: DataFrame, percent: int) -> DataFrame:
     tiles = F.explode(F.array_distinct(F.array(F.col("band"), F.greatest(F.lit(0), F.col("band") - 1)))).alias("tile")
     each = table(own.select("cls", "grp", "_id", "n", "band", tiles), "seats")
     sizes = each.groupBy("grp", "tile").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members"), F.count_if(F.col("band") == F.col("tile")).alias("lows"))
-    sizes = sizes.filter("members > 1 and lows > 0").select("grp", "tile", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int").alias("chunks"))
+    sizes = sizes.filter("members > 1 and lows > 0").select("grp", "tile", F.ceil(F.col("total") / (BLOCK_SHINGLES * CHUNK_BLOCKS)).cast("int").alias("chunks"))
     seat = F.struct("tile", "chunks", (F.col("band") == F.col("tile")).alias("low"))
     found = table(each.join(sizes, ["grp", "tile"]).groupBy("cls", "grp", "_id").agg(F.collect_list(seat).cast(SEATS).alias("seats")), "members")
     forget(each)
