@@ -1,7 +1,7 @@
 import pytest
 
 from tests import oracle
-from tidemill.plans import catalogue, flows  # noqa: F401 - registers its queries
+from tidemill.plans import catalogue, flows, parity  # noqa: F401 - they register their queries
 
 
 @pytest.fixture(scope="module")

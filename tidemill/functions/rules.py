@@ -18,8 +18,15 @@ def settlement(valid: Column, tier: Column) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown review tier "), F.coalesce(tier.cast("string"), F.lit("null")))))
 
 
+def fee(amount: Column, basis_points: float, fixed: float) -> Column:
+    """A share and a fixed part, in cents rounded half away from zero."""
+    cents = (amount * basis_points / 10000 + fixed) * 100
+    return F.signum(cents) * F.floor(F.abs(cents) + 0.5) / 100
+
+
 def fraud_score(amount: Column, customer: Column) -> Column:
     """Additive weights, 1.0 at most; a customer without a number counts as 0."""
+    # The weights and limits of the score.
     number = F.coalesce(F.ltrim(customer, F.lit("C")).try_cast("int"), F.lit(0))
     weights = [(amount > 2000, 0.35), (number.between(800, 900), 0.40), (amount > 4000, 0.20)]
     total = F.lit(0.0)

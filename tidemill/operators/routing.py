@@ -45,3 +45,9 @@ def lookup(rows: DataFrame, reference: DataFrame, keys: list[str], order: str, d
     last = latest(reference, keys, order).select(*keys, *defaults)
     joined = rows.join(last, keys, "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def table_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that one table has more often than the other, with ``side``; empty if both are equal as bags."""
+    only = lambda a, b, side: a.exceptAll(b.select(a.columns)).withColumn("side", F.lit(side))
+    return only(left, right, "left").unionAll(only(right.select(left.columns), left, "right"))

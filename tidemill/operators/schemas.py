@@ -62,12 +62,20 @@ def fingerprint(specs: list[ComponentSpec]) -> int:
     return state
 
 
-def require_double(df: DataFrame, column: str) -> Column:
-    if not isinstance(df.schema[column].dataType, T.DoubleType):
-        raise TypeError(f"{column} is {df.schema[column].dataType.simpleString()}, not double")
+KINDS = {"double": T.DoubleType, "long": T.LongType, "boolean": T.BooleanType, "string": T.StringType}
+
+
+def require(df: DataFrame, column: str, kind: str) -> Column:
+    """The column, if it is of that type and no other; nothing is cast."""
+    if not isinstance(df.schema[column].dataType, KINDS[kind]):
+        raise TypeError(f"{column} is {df.schema[column].dataType.simpleString()}, not {kind}")
     return F.col(column)
 
 
+def require_double(df: DataFrame, column: str) -> Column:
+    return require(df, column, "double")
+
+
 def sum_f64(df: DataFrame, column: str) -> Column:
     """The sum of a double column, nulls skipped, 0 if there is none."""
     return F.coalesce(F.sum(require_double(df, column)), F.lit(0.0))

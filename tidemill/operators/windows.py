@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.functions.hashing import key_hash
+
+#: Ranges of key hashes whose sessions are counted apart.
+RANGE_BITS = 12
+RANGES = 1 << RANGE_BITS
+
 
 def epoch_ms(ts: str) -> Column:
     """Milliseconds of a timestamp without zone, microseconds cut off toward zero."""
@@ -21,6 +27,17 @@ def tumbling_id(ms: Column, size: int, offset: int = 0) -> Column:
     return ((x - F.pmod(x, F.lit(size))) / F.lit(size)).cast("long")
 
 
+#: Steps of a unit in a millisecond; seconds are more than one.
+PER_MS = {"ms": 1, "us": 1_000, "ns": 1_000_000}
+
+
+def to_ms(time: str, unit: str) -> Column:
+    """Milliseconds of a long column in s, ms, us or ns, cut off toward zero."""
+    if unit == "s":
+        return F.col(time) * 1000
+    return F.expr(f"`{time}` div {PER_MS[unit]}")
+
+
 def sliding_ids(ms: Column, size: int, slide: int, offset: int = 0, strict: bool = False) -> Column:
     """An array of the ceil(size / slide) ids whose windows a time belongs to.
 
@@ -41,6 +58,48 @@ def sessions(df: DataFrame, keys: list[str], ms: str, gap: int) -> DataFrame:
     return df.filter(F.col(ms).isNotNull()).withColumn("__fresh", fresh).withColumn("session_id", F.sum("__fresh").over(running)).drop("__fresh")
 
 
+def sessions_across(df: DataFrame, keys: list[str], ms: str, gap: int) -> DataFrame:
+    """As ``sessions``, with key_hash, and ids that go on from key to key in the order of key_hash.
+
+    The sessions before a key are counted in two levels: within its range of hashes, of RANGES, and
+    over the ranges, so that the one task that orders ranges has RANGES rows at most.
+    """
+    found = sessions(df, keys, ms, gap).withColumn("key_hash", key_hash(*keys))
+    counts = found.groupBy("key_hash", *keys).agg((F.max("session_id") + 1).alias("__n"))
+    counts = counts.withColumn("__range", F.shiftright("key_hash", 64 - RANGE_BITS))
+    within = W.partitionBy("__range").orderBy("key_hash", *keys)
+    ranges = counts.groupBy("__range").agg(F.sum("__n").alias("__all"))
+    ranges = ranges.select("__range", (F.sum("__all").over(W.orderBy("__range")) - F.col("__all")).alias("__before"))
+    running = F.sum("__n").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    first = counts.withColumn("__within", running).join(ranges, "__range").select(*[F.col(k).alias(f"__{k}") for k in keys], (F.col("__before") + F.col("__within")).alias("__first"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return found.join(first, same).withColumn("session_id", F.col("session_id") + F.col("__first")).drop("__first", *[f"__{k}" for k in keys])
+
+
+def hashed_windows(df: DataFrame, ids: Column, keys: list[str], *aggregates: Column) -> DataFrame:
+    """As ``windowed``, in the output columns window_id, key_hash and the aggregates; groups are those
+    of the real keys."""
+    out = windowed(df, ids, keys, *aggregates)
+    return out.select("window_id", key_hash(*keys).alias("key_hash"), *[c for c in out.columns if c != "window_id" and c not in keys])
+
+
+def flush(state: DataFrame, results: DataFrame, component: str, value: str) -> DataFrame:
+    """The window accumulator (component, window_id, key_hash, sum_f64, count, min_f64, max_f64) after
+    the on-time ``results`` (window_id, key_hash, ``value``) of a run.
+
+    A flush replaces the rows of its groups and doesn't add to them: sum_f64 is the aggregate of
+    whatever kind, count is 1, min and max stay null.
+    """
+    none = F.lit(None).cast("double")
+    fresh = results.select(F.lit(component).alias("component"), "window_id", "key_hash", F.col(value).cast("double").alias("sum_f64"), F.lit(1).cast("long").alias("count"), none.alias("min_f64"), none.alias("max_f64"))
+    return state.join(fresh, ["component", "window_id", "key_hash"], "left_anti").unionByName(fresh)
+
+
+ACCUMULATOR = "component string, window_id long, key_hash long, sum_f64 double, count long, min_f64 double, max_f64 double"
+
+
 def reduction(kind: str, column: str) -> Column:
     """Sum, min, max, count or mean as a double. Over nulls alone: 0, +inf, -inf, the row count, NaN."""
     c = F.col(column)
@@ -89,9 +148,15 @@ def closed(groups: DataFrame, end: str, rows: DataFrame, ms: str) -> DataFrame:
     return groups.filter(F.col(end) <= rows.agg(F.max(ms)).scalar())
 
 
-def process_windows(df: DataFrame, ids: Column, keys: list[str], apply, schema: str) -> DataFrame:
+def process_windows(df: DataFrame, ids: Column, keys: list[str], apply, schema: str, size: int | None = None, ms: str | None = None, watermark: int | None = None) -> DataFrame:
     """Calls ``apply`` (Arrow table -> Arrow table of ``schema``) once for each window and key.
 
-    For what aggregates can't express: a group is handed over whole.
+    For what aggregates can't express: a group is handed over whole. With a ``size`` each row has
+    the window's context: window_start (id * size, whatever the offset) and window_end; with a
+    ``watermark`` also watermark and late, whether its time ``ms`` lies before it.
     """
+    if size is not None:
+        df = df.withColumn("window_start", ids * size).withColumn("window_end", (ids + 1) * size)
+    if watermark is not None:
+        df = df.withColumn("watermark", F.lit(watermark)).withColumn("late", F.col(ms) < watermark)
     return df.withColumn("window_id", ids).filter("window_id is not null").groupBy("window_id", *keys).applyInArrow(apply, schema)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
-    """The row of greatest ``order`` of each key; a partial aggregation, not a sort."""
+    """The row of greatest ``order`` of each key; partly aggregated before the shuffle.
+
+    The buffer is a row, so Spark sorts by key to aggregate, once on either side of the shuffle."""
     order = [order] if isinstance(order, str) else order
     row = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row")
     return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(row).select("row.*")
@@ -23,10 +25,24 @@ def append(base: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return base.unionByName(batch)
 
 
-def upsert(base: DataFrame, batch: DataFrame, keys: list[str], order: str, update: list[str] | None = None) -> DataFrame:
+def single(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df``, which fails when it is read if a key repeats."""
+    names = [F.col(k).alias(f"__{k}") for k in keys]
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"a key of {keys} repeats in the batch"))).otherwise(F.first(F.struct(*df.columns)))
+    return df.groupBy(*names).agg(once.cast(df.select(F.struct(*df.columns)).schema[0].dataType).alias("row")).select("row.*")
+
+
+def earliest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key in the order in which the rows come."""
+    at = F.monotonically_increasing_id()
+    row = F.min_by(F.struct(*df.columns), F.col("__at")).alias("row")
+    return df.withColumn("__at", at).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(row).select("row.*")
+
+
+def upsert(base: DataFrame, batch: DataFrame, keys: list[str], order: str | None, update: list[str] | None = None) -> DataFrame:
     """Rows of ``batch`` replace those of equal key, or only their ``update`` columns; of a key that repeats in the batch
-    the greatest ``order`` wins."""
-    fresh = latest(batch, keys, order).select(*base.columns)
+    the greatest ``order`` wins; without an order a repeated key is an error."""
+    fresh = (single(batch, keys) if order is None else latest(batch, keys, order)).select(*base.columns)
     if update is None:
         return base.join(fresh, keys, "left_anti").unionByName(fresh)
     new = fresh.select(*keys, F.struct(*base.columns).alias("__new"))
@@ -35,16 +51,19 @@ def upsert(base: DataFrame, batch: DataFrame, keys: list[str], order: str, updat
     return both.select(*[F.col(c) if c in keys else F.when(F.col("__old").isNull() | (F.lit(c in update) & F.col("__new").isNotNull()), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in base.columns])
 
 
-def ignore_conflicts(base: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Only keys that are not there yet are added; of a key that repeats in the batch the greatest ``order`` wins."""
-    return base.unionByName(latest(batch, keys, order).select(*base.columns).join(base, keys, "left_anti"))
+def ignore_conflicts(base: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Only keys that are not there yet are added; of a key that repeats in the batch the greatest
+    ``order`` wins, or the first row without one."""
+    fresh = earliest(batch, keys) if order is None else latest(batch, keys, order)
+    return base.unionByName(fresh.select(*base.columns).join(base, keys, "left_anti"))
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], order: str | list[str], op: str = "__op") -> DataFrame:
     """The table after ordered changes: I, U and R write a row, D deletes it; the last of each key counts."""
-    last = latest(changes, keys, order)
-    kept = last.filter(F.col(op) != "D").select(*base.columns)
-    return base.join(last.select(*keys), keys, "left_anti").unionByName(kept)
+    rest = [c for c in base.columns if c not in keys]
+    last = latest(changes, keys, order).select(*keys, F.col(op).alias("__op"), F.struct(F.lit(1), *rest).alias("__new"))
+    both = base.join(last, keys, "full").filter("__op is null or __op <> 'D'")
+    return both.select(*[F.col(c) if c in keys else F.when(F.col("__op").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in base.columns])
 
 
 def compacted(log: DataFrame, keys: list[str], order: str | list[str], tombstone: Column) -> DataFrame:
