@@ -17,18 +17,17 @@ class ConnectorUnavailable(RuntimeError):
     """A source or sink needs a library that this session lacks."""
 
 
-#: Formats whose reader is a jar that has to be on the class path, by a class of it.
-NEEDS_CLASS = {"avro": "org.apache.spark.sql.avro.AvroFileFormat"}
+#: Formats whose reader is a jar that has to be on the class path.
+NEEDS_JAR = frozenset({"avro"})
 
 
 def available(spark: SparkSession, format: str) -> None:
-    """Raises ConnectorUnavailable if the class that reads ``format`` can't be loaded."""
-    name = NEEDS_CLASS.get(format)
-    if name is not None:
+    """Raises ConnectorUnavailable if Spark knows no reader of ``format``."""
+    if format in NEEDS_JAR:
         try:
-            spark._jvm.org.apache.spark.util.Utils.classForName(name, False, False)
+            spark._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource(format, spark._jsparkSession.sessionState().conf())
         except Exception as error:
-            raise ConnectorUnavailable(f"{format} needs a jar with {name}") from error
+            raise ConnectorUnavailable(f"{format} needs its jar on the class path") from error
 
 
 @dataclass(frozen=True)
