@@ -77,3 +77,33 @@ def test_sessions_of_null_keys_go_on_too(spark):
     rows = [(None, 1), (None, 2), (None, 100), ("a", 1), ("a", 200), ("b", 5)]
     got = windows.sessions_across(spark.createDataFrame(rows, "k string, ms long"), ["k"], "ms", 10).collect()
     assert len(got) == 6 and {r.session_id for r in got} == set(range(5))
+
+
+@pytest.mark.parametrize("first", [False, True])
+@pytest.mark.parametrize("batches", [range(-5, 60), [0, 1, 2**40, 2**62, 2**62 + 1, -(2**63)], [None, 3, 4], [7], []])
+def test_watermarks_in_ranges_of_batches(spark, batches, first):
+    rows = [(b, (i * 37 + k * 911) % 500 if (i + k) % 7 else None) for i, b in enumerate(batches) for k in range(4)]
+    order = sorted(batches, key=lambda b: (b is not None, b))
+    want = []
+    for b, t in rows:
+        if t is not None:
+            at = order.index(b) + first
+            seen = [t for c, t in rows if t is not None and order.index(c) < at]
+            mark = max(seen, default=None) if b is not None else None
+            want.append((b, t, mark, mark is not None and 50 < mark and t < mark - 50))
+    got = windows.late_split(spark.createDataFrame(rows, "b long, t long"), "b", "t", 50, first)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select("b", "t", "watermark", "late").collect())
+
+
+def test_batches_that_are_no_integers_are_refused(spark):
+    with pytest.raises(ValueError, match="integer"):
+        windows.late_split(spark.createDataFrame([("a", 1)], "b string, t long"), "b", "t", 1)
+
+
+def test_window_ids_of_large_and_negative_times(spark):
+    times = [-(2**62) - 1, -1001, -1000, -1, 0, 999, 1000, 2**53 + 1, 2**62 + 1]
+    rows = spark.createDataFrame([(t,) for t in [*times, None]], "t long")
+    from pyspark.sql import functions as F
+
+    got = [tuple(r) for r in rows.select("t", windows.tumbling_id(F.col("t"), 3, 1)).collect()]
+    assert got == [(t, (t - 1) // 3) for t in times] + [(None, None)]

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemill.functions.hashing import key_hash
 
-#: Ranges of key hashes whose sessions are counted apart.
+#: Ranges of key hashes whose sessions are counted apart, and of batches whose greatest times are.
 RANGE_BITS = 12
 RANGES = 1 << RANGE_BITS
 
@@ -23,8 +24,8 @@ def epoch_ms(ts: str) -> Column:
 
 
 def tumbling_id(ms: Column, size: int, offset: int = 0) -> Column:
-    x = ms - F.lit(offset)
-    return ((x - F.pmod(x, F.lit(size))) / F.lit(size)).cast("long")
+    x = (ms - F.lit(offset)).cast("long")
+    return F.call_function("div", x - F.pmod(x, F.lit(size)), F.lit(size))
 
 
 #: Steps of a unit in a millisecond; seconds are more than one.
@@ -128,11 +129,24 @@ def late_split(df: DataFrame, batch: str, ms: str, allowed: int, advance_first:
 
     The watermark is the greatest time of all earlier batches (or, with ``advance_first``, also of
     the row's own). It is never late without a watermark, nor when ``allowed`` reaches the watermark.
-    One aggregated row a batch carries the watermark, so rows are joined, not sorted.
+    ``batch`` is an integer column; rows without one come before all others, and are never late.
+    One aggregated row a batch carries the watermark, so rows are joined, not sorted. The greatest
+    time before a batch is found in two levels: within its range of batches, of RANGES, and over the
+    ranges, so that the one task that orders ranges has RANGES + 2 rows at most.
     """
+    if not isinstance(df.schema[batch].dataType, IntegralType):
+        raise ValueError(f"{batch} has to be an integer column, to be cut to ranges")
     tops = df.filter(F.col(ms).isNotNull()).groupBy(batch).agg(F.max(ms).alias("__top"))
-    frame = W.orderBy(batch).rowsBetween(W.unboundedPreceding, 0 if advance_first else -1)
-    marks = tops.select(F.col(batch), F.max("__top").over(frame).alias("watermark"))
+    number = F.col(batch).cast("double")
+    ends = tops.agg(F.min(number).alias("low"), F.max(number).alias("high"))
+    low, high = ends.select("low").scalar(), ends.select("high").scalar()
+    # Rounding keeps the order; batches that round alike share a range.
+    tops = tops.withColumn("__range", F.coalesce(F.floor((number - low) / (high - low + 1) * RANGES), F.lit(-1)))
+    frame = W.partitionBy("__range").orderBy(batch).rowsBetween(W.unboundedPreceding, 0 if advance_first else -1)
+    earlier = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = tops.groupBy("__range").agg(F.max("__top").alias("__top")).select("__range", F.max("__top").over(earlier).alias("__before"))
+    marks = tops.withColumn("__within", F.max("__top").over(frame)).join(ranges, "__range")
+    marks = marks.select(batch, F.greatest("__within", "__before").alias("watermark"))
     late = (F.col("watermark").isNotNull()) & (F.lit(allowed) < F.col("watermark")) & (F.col(ms) < F.col("watermark") - allowed)
     return df.filter(F.col(ms).isNotNull()).join(marks, batch, "left").withColumn("late", F.coalesce(late, F.lit(False)))
 

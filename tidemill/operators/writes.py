@@ -17,7 +17,9 @@ def latest(df: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
 
 
 def append(base: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows of both; a key that is there already is an error."""
+    """All rows of both; a key that is there already is an error.
+
+    It is raised before anything is written, which costs two jobs over the keys when this is called."""
     if base.schema.simpleString() != batch.schema.simpleString():
         raise ValueError(f"schemas differ: {base.schema.simpleString()} and {batch.schema.simpleString()}")
     if not batch.join(base, keys, "left_semi").isEmpty() or not batch.groupBy(*keys).count().filter("count > 1").isEmpty():
