@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,23 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("k"))
 
 
+#: glibc's number of the setting, and the size from which a block of memory goes back when it is freed.
+M_MMAP_THRESHOLD, GIVEN_BACK = -3, 1 << 20
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any] = lambda: None) -> Any:
+    """What ``make`` builds, kept by this worker process from task to task until another name's takes
+    its place: workers serve one operator after the other, and only the last one's cache stays."""
+    if name not in _held:
+        if not _held:
+            # A fixed threshold: by default glibc raises it and keeps arrays of up to 32 MB.
+            getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)(M_MMAP_THRESHOLD, GIVEN_BACK)
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash; remembers at most ``room`` words."""
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemill.llm.common import WordHashes, mixed, packed_sorted, rolled, row_key, unpacked_sorted
+from tidemill.llm.common import WordHashes, held, mixed, packed_sorted, rolled, row_key, unpacked_sorted
 from tidemill.llm.components import components
 from tidemill.session import forget, ship, table
 
@@ -95,11 +95,11 @@ def tile_keys(shingle_set: np.ndarray, bands: Bands) -> np.ndarray:
             with np.errstate(over="ignore"):
                 dealt = mixed(shingle_set + np.uint64((seed + 1) * 0xD1B54A32D192ED03 % 2**64))
                 part = ((dealt >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-                held = np.zeros(m, np.uint64)
-                np.add.at(held, part.astype(np.int64), mixed(dealt))
+                sums = np.zeros(m, np.uint64)
+                np.add.at(sums, part.astype(np.int64), mixed(dealt))
                 name = np.arange(m, dtype=np.uint64) + np.uint64((tile * SEEDS + seed) << 40)
                 full = np.bincount(part.astype(np.int64), minlength=m) > 0
-                keys.append(mixed(held + mixed(name + np.uint64(1)))[full])
+                keys.append(mixed(sums + mixed(name + np.uint64(1)))[full])
             if m - int(full.sum()) < m - k:
                 break
         else:  # so thin in each of the seeds: such sets of one tile meet in one key
@@ -206,7 +206,7 @@ DOCUMENT, PACK, LINK = 0, 1, 2
 
 def _sets_udf(width: int, percent: int, bits: int, keep: pa.Schema):
     """One pass over the texts: rows of FOUND and ``keep``."""
-    hashes, bands = WordHashes(), Bands(percent)
+    bands = Bands(percent)
     names = [part.split()[0] for part in FOUND.split(", ")]
     kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
     schema = pa.schema([(n, kinds[part.split()[1]]) for n, part in zip(names, FOUND.split(", "))] + list(keep))
@@ -234,7 +234,8 @@ def _sets_udf(width: int, percent: int, bits: int, keep: pa.Schema):
             yield rows(LINK, {"u": pa.array(u), "v": pa.array(v)})
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        hashes = held("hashes", WordHashes)
+        pack: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
             n, ids = [], []
@@ -244,22 +245,23 @@ def _sets_udf(width: int, percent: int, bits: int, keep: pa.Schema):
                 name = set_id(found) if len(found) else None
                 n.append(len(found))
                 ids.append(name)
-                if name is not None and name not in held:
-                    held[name] = tile_keys(found, bands)
+                if name is not None and name not in pack:
+                    pack[name] = tile_keys(found, bands)
                     size += len(raw)
                     if size > PACK_BYTES:
-                        yield from packed(held)
-                        held, size = {}, 0
+                        yield from packed(pack)
+                        pack, size = {}, 0
             kept = dict(zip(keep.names, batch.columns[2:]))
             yield rows(DOCUMENT, {"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "cls": pa.array(ids, pa.int64())} | kept)
-        if held:
-            yield from packed(held)
+        if pack:
+            yield from packed(pack)
 
     return sets
 
 
 def _shared_keys(group: pa.Table) -> pa.Table:
     """Of a bucket: links (u, v) of the classes of a key to its least."""
+    held("keys")
     keys = [unpacked_sorted(k.as_py()) for k in group.column("keys")]
     classes = [np.frombuffer(c.as_py(), np.int64) for c in group.column("classes")]
     _, _, u, v = meetings(np.concatenate(keys), np.concatenate(classes))
@@ -270,9 +272,8 @@ SEATS = "array<struct<tile:int,chunks:int,low:boolean>>"
 
 
 def _describe_udf(width: int):
-    hashes = WordHashes()
-
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = held("hashes", WordHashes)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -290,6 +291,7 @@ def _blocks(rows: np.ndarray, arrays: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _tile(percent: int):
     def tile(group: pa.Table) -> pa.Table:
+        held("tile")
         cls = group.column("cls").to_numpy()
         low = group.column("low").to_numpy(zero_copy_only=False)
         arrays = group.column("arr")
@@ -373,12 +375,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     # A text is found again by its doc_id and two hashes: doc_ids may repeat or be null.
     source = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("_id"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
-    held = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in source.schema.fields[2:]])
+    extra = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in source.schema.fields[2:]])
     # Keys by the bytes of text: a word has about six, and a set has keys for a share of its shingles.
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = size / 6 * 3 * (100 - percent) / percent
     bits = max(0, math.ceil(math.log2(max(1, expected / BUCKET_KEYS))))
-    found = table(source.mapInArrow(_sets_udf(width, percent, bits, held), FOUND + kinds).withColumn("_row", F.monotonically_increasing_id()), "sets", by="kind")
+    found = table(source.mapInArrow(_sets_udf(width, percent, bits, extra), FOUND + kinds).withColumn("_row", F.monotonically_increasing_id()), "sets", by="kind")
     narrow = found.filter(F.col("kind") == DOCUMENT).select("doc_id", "n", "cls", "_row", "_id", *source.columns[3:])
     classes = narrow.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min("_id").alias("_id"), F.max("n").alias("n"), F.min(F.struct("doc_id", "_row")).alias("_first"))
     classes = table(classes, "classes")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import held_out
+from tidemill.llm.common import held, held_out
 from tidemill.session import ship
 
 #: Bound of the labelled sample, latent dimensions, and neighbours that vote.
@@ -99,7 +99,7 @@ class NeighbourVote:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features = WordFeatures()
+    features = held("features", WordFeatures)
     for batch in batches:
         packed = [zlib.compress(np.minimum(features.counts(t.as_py() or b""), 2**32 - 1).astype("<u4").tobytes(), 1) for t in batch.column(2).cast(pa.large_binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "quality", "counts"])
@@ -126,7 +126,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> NeighbourVote | None:
 
 def _score(model: NeighbourVote | None, kept: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = WordFeatures()
+        features = held("features", WordFeatures)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WordHashes, packed_sorted, rolled, unpacked_sorted
+from tidemill.llm.common import WordHashes, held, packed_sorted, rolled, unpacked_sorted
 from tidemill.session import ship
 
 #: Text bytes that a chunk holds on average.
@@ -78,10 +78,8 @@ def _chunk_udf(bounds: list[int]):
 
 
 def _blocks(window: int, bits: int):
-    hashes = WordHashes()
-
     def blocks(group: pa.Table) -> pa.Table:
-        chunk = Chunk(group, window, hashes)
+        chunk = Chunk(group, window, held("hashes", WordHashes))
         lead = (chunk.distinct >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(chunk.distinct), np.int64)
         edges = np.append(np.flatnonzero(np.diff(lead, prepend=-1)), len(lead)) if len(lead) else np.zeros(1, np.int64)
         return pa.table(
@@ -117,10 +115,8 @@ def _answers(group: pa.Table) -> pa.Table:
 
 
 def _removal(window: int, digest: bool):
-    hashes = WordHashes()
-
     def removal(group: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = Chunk(group, window, hashes)
+        chunk = Chunk(group, window, held("hashes", WordHashes))
         rows = sorted(answers.select(["bucket", "n", "earlier"]).to_pylist(), key=lambda r: r["bucket"])
         bits = [np.unpackbits(np.frombuffer(r["earlier"], np.uint8), count=r["n"]) for r in rows]
         earlier = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)

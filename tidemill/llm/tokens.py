@@ -8,6 +8,8 @@ from array import array
 
 import numpy as np
 
+from tidemill.llm.common import held
+
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -69,11 +71,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_held: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """One cache a worker process, kept from task to task."""
-    if path not in _held:
-        _held[path] = WordIds(path)
-    return _held[path]
+    return held(f"ids {path}", lambda: WordIds(path))
