@@ -177,6 +177,51 @@ def test_tile_keys_meet_for_all_linked_sets():
                     assert len(np.intersect1d(ngram_join.tile_keys(a, bands), ngram_join.tile_keys(b, bands)))
 
 
+def test_ngram_join_sends_only_sets_that_may_link(spark, monkeypatch):
+    """Texts with a line in common form one group by their keys; its sets once met in as many tasks as the group had chunks."""
+    for name, value in (("BLOCK_SHINGLES", 500), ("CHUNK_BLOCKS", 1), ("SKETCH_ROWS", 16)):
+        monkeypatch.setattr(ngram_join, name, value)
+    sent, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda sets, percent: sent.append(sets.count()) or links(sets, percent))
+    line = " ".join(f"line{k}" for k in range(16))
+    rows = [(i, f"{line} " + " ".join(f"own{i}x{k}" for k in range(60))) for i in range(150)]
+    rows.append((150, rows[70][1] + " tail"))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i, 0) for i in range(150)} | {70: (70, 1), 150: (70, 1)}
+    assert sent == [2]
+
+
+def test_sketches_allow_every_link():
+    rng = np.random.default_rng(5)
+    for percent in (30, 60, 80, 85):
+        for start in (1, 3, 12, 40, 150, 700):
+            bands = ngram_join.Bands(percent)
+            tile = bands.of(start)
+            bands.parts(tile + 1)
+            least, most = bands.starts[tile], bands.starts[tile + 2] - 1
+            core = rng.integers(0, 2**63, most).astype(np.uint64)
+            sets = []
+            for size in rng.integers(least, most + 1, 40):
+                same = rng.integers(0, size + 1) if rng.random() < 0.4 else size - rng.integers(0, size // 4 + 1)
+                sets.append(np.unique(np.concatenate((core[:same], rng.integers(0, 2**63, size - same).astype(np.uint64)))))
+            sets = sorted([core[:least], *sets], key=len)
+            size = np.array([len(x) for x in sets])
+            low = np.array([bands.of(x) == tile for x in size])
+            drawn = [ngram_join.sketch(x, bands.bits(bands.of(len(x)))) for x in sets]
+            bits = np.stack([ngram_join.folded(d, min(map(len, drawn))) for d in drawn])
+            for across in (False, True):
+                side = rng.integers(0, 2, len(sets)) if across else np.zeros(len(sets), int)
+                group = ngram_join.Unions(len(sets))
+                for i, j in ngram_join.may_link(size, low, side, bits, across, percent):
+                    assert group.root(i) != group.root(j) and not (across and side[i] == side[j])
+                    group.join(i, j)
+                for i in range(len(sets)):
+                    for j in range(i):
+                        same = len(np.intersect1d(sets[i], sets[j]))
+                        if (low[i] or low[j]) and not (across and side[i] == side[j]) and 100 * same >= percent * (size[i] + size[j] - same):
+                            assert group.root(i) == group.root(j)
+
+
 def test_decontamination_edges(spark, edge, none):
     bench = spark.createDataFrame([(1, "Two ONE"), (2, None), (3, "ONE, two"), (4, " ".join(f"word{i}" for i in range(100, 112))), (4, "")], "item_id long, text string")
     got = {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate(edge, bench).collect()}

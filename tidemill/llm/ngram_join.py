@@ -14,9 +14,15 @@ Common shingles are no trouble, since a key covers all that a part holds.
 Keys travel sorted and packed, from one pass over the texts that also names the sets. Classes of
 one pack that share a key are linked to the least of them there, which alone is sent, so a key
 that a third of all classes share reaches its bucket once from each pack. Buckets link the classes
-that share a key likewise; linked classes, also through others, form a candidate group. A group's classes meet
-in tiles of one band and the next; a large tile is cut to chunks, and each pair of chunks is a
-task of its own, which compares them block by block. A task folds each set to a bitmap signature; the bits that two signatures share
+that share a key likewise; linked classes, also through others, form a group.
+
+Such a group grows with the table where texts have lines in common, so its sets are not what meets in
+it, but sketches, a few bits a shingle, from the same pass over the texts: a bit says whether an odd number of
+shingles falls on it, so two sets differ in as many shingles as their sketches in bits, or more. Classes
+that may link by that, also through others, form a candidate group; the others go no further.
+
+A group's classes meet in tiles of one band and the next; a large tile is cut to chunks, and each pair
+of chunks is a task of its own. Tasks on sets compare them block by block. A task folds each set to a bitmap signature; the bits that two signatures share
 bound the overlap from above, and all pairs that may reach the threshold are intersected. Each
 pair meets in one task; a task returns how many links each class has in it, and of the links a
 spanning set, so its rows grow with the classes and not with the pairs.
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -41,11 +47,15 @@ from tidemill.session import forget, ship, table
 #: Text bytes whose keys are packed together, and keys that a bucket holds on average.
 PACK_BYTES = 8_000_000
 BUCKET_KEYS = 500_000
+#: Bits of a key that count within its bucket; keys that agree in them by chance only cost a comparison.
+KEY_BITS = 40
 SEEDS = 8
 BITS_PER_SHINGLE = 8
 #: Shingles that a block of a tile holds, which is compared at once, and blocks of a chunk; chunks
 #: are what is shuffled, to each chunk of their tile, and stay packed until their block's turn.
 BLOCK_SHINGLES, CHUNK_BLOCKS = 1_000_000, 8
+#: Bytes and rows of a chunk of sketches.
+SKETCH_BYTES, SKETCH_ROWS = 8_000_000, 131_072
 
 
 def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
@@ -84,6 +94,24 @@ class Bands:
         k = (small + large) * (100 - self.percent) // (100 + self.percent)
         return k + 1 + (k + 1) // 8, k
 
+    def bits(self, band: int) -> int:
+        """Bits of a sketch in ``band``: a power of two, and one a shingle or more."""
+        self.of(self.starts[-1]) if band + 1 >= len(self.starts) else None
+        return max(64, 1 << (self.starts[band + 1] - 2).bit_length())
+
+
+def sketch(shingle_set: np.ndarray, bits: int) -> bytes:
+    odd = np.bincount((shingle_set & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(drawn: bytes, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes, a smaller power of two or the same, of the set that ``drawn`` is of."""
+    row = np.frombuffer(drawn, np.uint64)
+    while 8 * len(row) > size:
+        row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+    return row
+
 
 def tile_keys(shingle_set: np.ndarray, bands: Bands) -> np.ndarray:
     """The distinct keys of a set: for its own band as the smaller and the one before as the larger."""
@@ -181,6 +209,40 @@ def tile_links(sets: list[np.ndarray], low: np.ndarray, side: np.ndarray, across
     return found, links
 
 
+def may_link(size: np.ndarray, low: np.ndarray, side: np.ndarray, bits: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs that span what all pairs connect which may link by their sketches. Rows ascend by size;
+    ``low``, ``side`` and ``across`` as above."""
+    first, second = (np.flatnonzero(side == k) for k in (0, 1)) if across else (np.arange(len(size)),) * 2
+    sizes, theirs, lows = size[second], bits[second], int(low[second].sum())
+    # The first half of the bits, word by word over all rows, leaves few for the other half.
+    half = -(-bits.shape[1] // 2)
+    words = np.ascontiguousarray(theirs[:, :half].T)
+    kind = np.uint16 if 64 * half < 1 << 16 else np.uint32
+    group, apart, pairs = np.arange(len(size)), len(size) - 1, []
+    for at, i in enumerate(first.tolist()):
+        if not apart:
+            break
+        start = int(np.searchsorted(sizes, -(-size[i] * percent // 100))) if across else at + 1
+        end = int(np.searchsorted(sizes, size[i] * 100 // percent, side="right"))
+        end = end if low[i] else min(end, lows)
+        if start >= end:
+            continue
+        differ = np.zeros(end - start, kind)
+        for word, own in zip(words, bits[i]):
+            differ += np.bitwise_count(word[start:end] ^ own)
+        near = start + np.flatnonzero(differ <= int((size[i] + sizes[end - 1]) * (100 - percent) // (100 + percent)))
+        rest = np.bitwise_count(theirs[near, half:] ^ bits[i, half:]).sum(axis=1, dtype=np.int64)
+        near = near[(differ[near - start] + rest) * (100 + percent) <= (size[i] + sizes[near]) * (100 - percent)]
+        near = second[near]
+        fresh = near[group[near] != group[i]]
+        if len(fresh):
+            names, one = np.unique(group[fresh], return_index=True)
+            pairs += [(i, j) for j in fresh[one].tolist()]
+            group[np.isin(group, names)] = group[i]
+            apart -= len(names)
+    return pairs
+
+
 def distinct_pairs(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((v, u))
     u, v = u[order], v[order]
@@ -200,8 +262,9 @@ def meetings(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 FOUND = "doc_id long, n long, cls long, bucket long, keys binary, classes binary, u long, v long, kind int"
-#: Kinds of rows of one pass over the texts: documents, packs of keys, links of classes that share a key.
-DOCUMENT, PACK, LINK = 0, 1, 2
+#: Kinds of rows of one pass over the texts: documents, packs of keys, links of classes that share a key,
+#: sketches of a pack's classes (in the column of keys).
+DOCUMENT, PACK, LINK, SKETCH = 0, 1, 2, 3
 
 
 def _sets_udf(width: int, percent: int, bits: int, keep: pa.Schema):
@@ -216,9 +279,12 @@ def _sets_udf(width: int, percent: int, bits: int, keep: pa.Schema):
         columns["kind"] = pa.array(np.full(size, kind, np.int32))
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-    def packed(keys: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def packed(keys: dict[int, np.ndarray], drawn: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        n, sketches = zip(*drawn)
+        yield rows(SKETCH, {"cls": pa.array(list(keys), pa.int64()), "n": pa.array(n, pa.int64()), "keys": pa.array(sketches, pa.binary())})
         owner = np.repeat(np.array(list(keys), np.int64), [len(k) for k in keys.values()])
-        flat, least, u, v = meetings(np.concatenate(list(keys.values())), owner)
+        dropped = np.uint64(max(0, 64 - bits - KEY_BITS))
+        flat, least, u, v = meetings(np.concatenate(list(keys.values())) >> dropped << dropped, owner)
         lead = (flat >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
         edges = np.append(np.flatnonzero(np.diff(lead, prepend=-1)), len(lead))
         cuts = list(zip(edges[:-1], edges[1:]))
@@ -236,6 +302,7 @@ def _sets_udf(width: int, percent: int, bits: int, keep: pa.Schema):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = held("hashes", WordHashes)
         pack: dict[int, np.ndarray] = {}
+        drawn: list[tuple[int, bytes]] = []
         size = 0
         for batch in batches:
             n, ids = [], []
@@ -247,14 +314,15 @@ def _sets_udf(width: int, percent: int, bits: int, keep: pa.Schema):
                 ids.append(name)
                 if name is not None and name not in pack:
                     pack[name] = tile_keys(found, bands)
+                    drawn.append((len(found), sketch(found, bands.bits(bands.of(len(found))))))
                     size += len(raw)
                     if size > PACK_BYTES:
-                        yield from packed(pack)
-                        pack, size = {}, 0
+                        yield from packed(pack, drawn)
+                        pack, drawn, size = {}, [], 0
             kept = dict(zip(keep.names, batch.columns[2:]))
             yield rows(DOCUMENT, {"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "cls": pa.array(ids, pa.int64())} | kept)
         if pack:
-            yield from packed(pack)
+            yield from packed(pack, drawn)
 
     return sets
 
@@ -283,6 +351,24 @@ def _describe_udf(width: int):
     return describe
 
 
+def _sketch_tile(percent: int):
+    def tile(group: pa.Table) -> pa.Table:
+        held("sketches")
+        order = np.argsort(group.column("n").to_numpy(), kind="stable")
+        cls, size, side = (group.column(name).to_numpy()[order] for name in ("cls", "n", "side"))
+        low = group.column("low").to_numpy(zero_copy_only=False)[order]
+        pairs = []
+        if low.any() and len(cls) > 1:
+            drawn = group.column("keys").to_pylist()
+            width = min(map(len, drawn))
+            bits = np.stack([folded(drawn[i], width) for i in order.tolist()])
+            across = group.column("a")[0].as_py() != group.column("b")[0].as_py()
+            pairs = may_link(size, low, side, bits, across, percent)
+        return pa.table({name: pa.array([cls[pair[k]] for pair in pairs], pa.int64()) for k, name in enumerate(("u", "v"))})
+
+    return tile
+
+
 def _blocks(rows: np.ndarray, arrays: pa.ChunkedArray) -> list[np.ndarray]:
     """``rows`` cut to blocks of about BLOCK_SHINGLES shingles, of seven packed bytes each."""
     sizes = np.array([len(arrays[int(i)].as_buffer()) for i in rows], np.int64)
@@ -334,27 +420,49 @@ def _band_udf(percent: int):
     return F.arrow_udf(band, "int")
 
 
-def _seated(member: DataFrame, percent: int) -> DataFrame:
+def _seated(member: DataFrame, percent: int, share: Column) -> DataFrame:
     """(cls, grp, _id, seats) of the classes (cls, grp, _id, n) that meet another in a tile of their
-    group: a tile of two or more, of which one is of the tile's own band. Others need no text."""
+    group: a tile of two or more, of which one is of the tile's own band. Others need no text.
+    ``share``: of a chunk, that a class of n shingles takes."""
     own = member.withColumn("band", _band_udf(percent)("n"))
     tiles = F.explode(F.array_distinct(F.array(F.col("band"), F.greatest(F.lit(0), F.col("band") - 1)))).alias("tile")
     each = table(own.select("cls", "grp", "_id", "n", "band", tiles), "seats")
-    sizes = each.groupBy("grp", "tile").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members"), F.count_if(F.col("band") == F.col("tile")).alias("lows"))
-    sizes = sizes.filter("members > 1 and lows > 0").select("grp", "tile", F.ceil(F.col("total") / (BLOCK_SHINGLES * CHUNK_BLOCKS)).cast("int").alias("chunks"))
+    sizes = each.groupBy("grp", "tile").agg(F.sum(share).alias("total"), F.count(F.lit(1)).alias("members"), F.count_if(F.col("band") == F.col("tile")).alias("lows"))
+    sizes = sizes.filter("members > 1 and lows > 0").select("grp", "tile", F.ceil("total").cast("int").alias("chunks"))
     seat = F.struct("tile", "chunks", (F.col("band") == F.col("tile")).alias("low"))
     found = table(each.join(sizes, ["grp", "tile"]).groupBy("cls", "grp", "_id").agg(F.collect_list(seat).cast(SEATS).alias("seats")), "members")
     forget(each)
     return found
 
 
+def _meetings(seated: DataFrame, *columns: str) -> GroupedData:
+    """Classes (cls, grp, seats) and ``columns`` by the pairs of chunks in which they meet."""
+    placed = seated.select("cls", "grp", F.inline("seats"), *columns).withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = pairs.select("grp", "tile", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "cls", "low", (F.col("chunk") > F.col("other")).cast("int").alias("side"), *columns)
+    return rows.groupBy("grp", "tile", "a", "b")
+
+
+def _candidates(member: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """A table (node, root) of the classes (cls, grp, _id, n) that may link by their sketches (cls, n,
+    keys), which may repeat, with another of their group: root is the least that such pairs reach."""
+    seats = _seated(member, percent, F.greatest(F.col("n") / (4 * SKETCH_BYTES), F.lit(1 / SKETCH_ROWS)))
+    drawn = sketches.join(seats.select("cls", "grp", "seats"), "cls").dropDuplicates(["cls"])
+    near = table(_meetings(drawn, "n", "keys").applyInArrow(_sketch_tile(percent), "u long, v long"), "near")
+    forget(seats)
+    found = components(near)
+    forget(near)
+    return found
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) of classes (cls, grp, seats, arr) that span those of each candidate group; where v
     is null, n links of class u."""
-    placed = sets.select("cls", "grp", F.inline("seats"), "arr").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = pairs.select("grp", "tile", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "cls", "low", (F.col("chunk") > F.col("other")).cast("int").alias("side"), "arr")
-    return table(rows.groupBy("grp", "tile", "a", "b").applyInArrow(_tile(percent), "u long, v long, n long"), "links")
+    return table(_meetings(sets, "arr").applyInArrow(_tile(percent), "u long, v long, n long"), "links")
+
+
+def _members(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    return groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "_id", "n"), "cls")
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -390,8 +498,11 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     shared = table(far.union(found.filter(F.col("kind") == LINK).select("u", "v")), "shared")
     forget(found, part=f"kind={PACK}")
     grouped = components(shared)
-    member = _seated(grouped.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "_id", "n"), "cls"), percent)
+    near = _candidates(_members(grouped, classes), found.filter(F.col("kind") == SKETCH).select("cls", "n", "keys"), percent)
     forget(shared, grouped)
+    forget(found, part=f"kind={SKETCH}")
+    member = _seated(_members(near, classes), percent, F.col("n") / (BLOCK_SHINGLES * CHUNK_BLOCKS))
+    forget(near)
     # One path at every size: the texts of candidate classes are brought together by a shuffle.
     texts = source.select("text", "_id").join(member.hint("merge"), "_id").groupBy("cls").agg(F.first("text").alias("text"), F.first("grp").alias("grp"), F.first("seats").alias("seats"))
     links = _links(texts.select("cls", "text", "grp", "seats").mapInArrow(_describe_udf(width), f"cls long, grp long, seats {SEATS}, arr binary"), percent)
